@@ -36,7 +36,7 @@ def _gather(rows: DataFrame) -> DataFrame:
     """Add the messages to the node they name; messages to unknown nodes fall away."""
     return (
         rows.groupBy("id")
-        .agg(F.max("parent").alias("parent"), F.sum("kids").alias("kids"), F.sum("size").alias("size"), F.max("peel").alias("peel"), F.max("own").alias("own"))
+        .agg(F.max("parent").alias("parent"), F.sum("kids").alias("kids"), F.sum("size").alias("size"), F.max("peel").alias("peel"), F.max("clock").alias("clock"), F.max("own").alias("own"))
         .where("own")
     )
 
@@ -48,23 +48,26 @@ def _message(to: Column, kids: int, size: Column) -> Column:
         F.lit(kids).cast("long").alias("kids"),
         size.cast("long").alias("size"),
         F.lit(None).cast("int").alias("peel"),
+        F.lit(None).cast("int").alias("clock"),
         F.lit(False).alias("own"),
     )
 
 
-def _own(peel: Column) -> Column:
-    return F.struct("id", "parent", F.col("kids").cast("long").alias("kids"), F.col("size").cast("long").alias("size"), peel.cast("int").alias("peel"), F.lit(True).alias("own"))
+def _own(peel: Column, clock: Column) -> Column:
+    return F.struct("id", "parent", F.col("kids").cast("long").alias("kids"), F.col("size").cast("long").alias("size"), peel.cast("int").alias("peel"), clock.cast("int").alias("clock"), F.lit(True).alias("own"))
 
 
 def _count_children(nodes: DataFrame) -> DataFrame:
     start = nodes.select("id", "parent", F.lit(0).alias("kids"), F.lit(1).alias("size"))
-    sent = F.when(F.col("parent").isNotNull(), F.array(_own(F.lit(None)), _message(F.col("parent"), 1, F.lit(0)))).otherwise(F.array(_own(F.lit(None))))
+    own = _own(F.lit(None), F.lit(0))
+    sent = F.when(F.col("parent").isNotNull(), F.array(own, _message(F.col("parent"), 1, F.lit(0)))).otherwise(F.array(own))
     return _gather(start.select(F.explode(sent).alias("r")).select("r.*"))
 
 
-def _peel_round(state: DataFrame, number: int) -> DataFrame:
+def _peel_round(state: DataFrame) -> DataFrame:
+    """Peel the nodes without children left. The clock is a column, so that all rounds share their compiled code."""
     leaf = F.col("peel").isNull() & (F.col("kids") == 0)
-    own = _own(F.when(leaf, F.lit(number)).otherwise(F.col("peel")))
+    own = _own(F.when(leaf, F.col("clock") + 1).otherwise(F.col("peel")), F.col("clock") + 1)
     sent = F.when(leaf & F.col("parent").isNotNull(), F.array(own, _message(F.col("parent"), -1, F.col("size")))).otherwise(F.array(own))
     return _gather(state.select(F.explode(sent).alias("r")).select("r.*"))
 
@@ -92,7 +95,7 @@ def peel(df: DataFrame, node: str, parent: str, root_markers: tuple[int, ...] =
     while True:
         for _ in range(rounds):
             number += 1
-            state = _peel_round(state, number)
+            state = _peel_round(state)
         done = stage(state, "peel")
         last = done.where(f"peel = {number}").isEmpty()
         stages.append((rounds, done.where("peel is not null").select("id", "parent", "peel", "size")))
