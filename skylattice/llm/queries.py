@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skylattice.llm import quantiles
+from skylattice.llm import linkage, quantiles
 from skylattice.runtime import stage, table
 
 FIELDS = ["tidal_anisotropy", "overdensity", "descriptor_m200b"]
@@ -57,7 +57,20 @@ def p1_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantiles.percentiles(runs.unionByName(overall), ["run_id", "field_name"], [1.0, 5.0, 25.0, 50.0, 75.0, 95.0, 99.0, 99.9])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_percentiles)}
+def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = table(spark, sf_dir, "sim_runs")
+    return linkage.match(linkage.prepared(table(spark, sf_dir, "hr_halos"), "halo_id", runs), linkage.prepared(table(spark, sf_dir, "lr_halos"), "lr_halo_id", runs))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _matches(spark, sf_dir).select(F.col("hr").alias("hr_halo_id"), F.col("lr").alias("lr_halo_id"))
+
+
+def p5_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _matches(spark, sf_dir).select(F.col("hr").alias("hr_halo_id"), F.col("lr").alias("lr_halo_id"), *[F.round(c, 6).alias(c) for c in ("d", "bm25", "score", "gap", "confidence")])
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_percentiles, p5_found, p5_confidence)}
 
 ORACLE = {
     "p1_found": """
