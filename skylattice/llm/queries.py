@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skylattice.llm import linkage, quantiles
+from skylattice.llm import linkage, quantiles, textquality
 from skylattice.runtime import stage, table
 
 FIELDS = ["tidal_anisotropy", "overdensity", "descriptor_m200b"]
@@ -70,7 +70,26 @@ def p5_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _matches(spark, sf_dir).select(F.col("hr").alias("hr_halo_id"), F.col("lr").alias("lr_halo_id"), *[F.round(c, 6).alias(c) for c in ("d", "bm25", "score", "gap", "confidence")])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_percentiles, p5_found, p5_confidence)}
+def _common_words(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The listed words; the table has the same 137 rows at every scale."""
+    return sorted({r.word.lower() for r in table(spark, sf_dir, "common_words").where("word IS NOT NULL").collect()})
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shares = textquality.label_shares(table(spark, sf_dir, "documents"), "doc_id", "text", _common_words(spark, sf_dir))
+    return shares.where(textquality.not_prose(shares)).select("doc_id")
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shares = textquality.label_shares(table(spark, sf_dir, "documents"), "doc_id", "text", _common_words(spark, sf_dir))
+    return shares.select("doc_id", "n_lines", *[F.round(f"{s}_share", 6).alias(f"{s}_share") for s in textquality.STATES])
+
+
+def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return textquality.statistics(table(spark, sf_dir, "documents"), "doc_id", "text", _common_words(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_percentiles, p5_found, p5_confidence, p9_found, p9_shares, p9_statistics)}
 
 ORACLE = {
     "p1_found": """
@@ -86,4 +105,14 @@ WITH d AS (
   FROM descriptor_summaries s JOIN v ON v.field_name = s.field_name AND (s.run_id IS NULL OR s.run_id = v.run_id) AND v.batch_day BETWEEN s.day_from AND s.day_to
   WHERE isfinite(value) AND value <> -999 GROUP BY ALL
 ) SELECT summary_id FROM s WHERE pct / 100.0 < below / n - 0.05 OR pct / 100.0 > upto / n + 0.05""",
+    "p9_statistics": r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(lower(t), '\p{L}+') AS w, list_filter(regexp_split_to_array(t, '\r\n|\n|\r'), lambda x: regexp_matches(x, '\S')) AS l FROM t),
+c AS (SELECT list(DISTINCT lower(word)) AS c FROM common_words)
+SELECT doc_id, length(t) AS n_chars, len(w) AS n_words,
+  round(CASE WHEN len(w) > 0 THEN list_sum(list_transform(w, lambda x: length(x))) / len(w) END, 6) AS mean_word_length,
+  round(CASE WHEN t <> '' THEN length(regexp_replace(t, '[\p{L}\p{N}\s]', '', 'g')) / length(t) END, 6) AS symbol_ratio,
+  round(CASE WHEN len(l) > 0 THEN len(list_filter(l, lambda x: regexp_matches(x, '[.!?…][ \t]*$'))) / len(l) END, 6) AS end_punct_share,
+  round(CASE WHEN len(w) > 0 THEN len(list_filter(w, lambda x: list_contains(c, x))) / len(w) END, 6) AS common_share
+FROM w, c""",
 }
