@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skylattice.llm import linkage, quantiles, textquality
+from skylattice.llm import linkage, mixing, packing, quantiles, textquality, tokens
 from skylattice.runtime import stage, table
 
 FIELDS = ["tidal_anisotropy", "overdensity", "descriptor_m200b"]
@@ -70,6 +70,34 @@ def p5_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _matches(spark, sf_dir).select(F.col("hr").alias("hr_halo_id"), F.col("lr").alias("lr_halo_id"), *[F.round(c, 6).alias(c) for c in ("d", "bm25", "score", "gap", "confidence")])
 
 
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = {r.pack_id: r.capacity_tokens for r in table(spark, sf_dir, "pack_sizes").collect()}  # four rows at every scale
+    return packing.layout(stage(tokens.sized(table(spark, sf_dir, "documents"), "doc_id", "text"), "sized"), "doc_id", "n_tokens", sizes)
+
+
+def p7_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packed(spark, sf_dir).select("pack_id", "container_id", F.col("item_id").alias("doc_id"), "start_token", "n_tokens")
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill_report(_packed(spark, sf_dir))
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[mixing.Source]]:
+    documents = table(spark, sf_dir, "documents").withColumn("source", mixing.source_name("source"))
+    sized = stage(tokens.sized(documents, "doc_id", "text", keep=("source",)), "sized")
+    sources = mixing.known_sources(sized, table(spark, sf_dir, "source_targets"))
+    return mixing.mixture(sized, "doc_id", sources), sources
+
+
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir)[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.reached(*_mixed(spark, sf_dir))
+
+
 def _common_words(spark: SparkSession, sf_dir: str) -> list[str]:
     """The listed words; the table has the same 137 rows at every scale."""
     return sorted({r.word.lower() for r in table(spark, sf_dir, "common_words").where("word IS NOT NULL").collect()})
@@ -89,7 +117,7 @@ def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return textquality.statistics(table(spark, sf_dir, "documents"), "doc_id", "text", _common_words(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_percentiles, p5_found, p5_confidence, p9_found, p9_shares, p9_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_percentiles, p5_found, p5_confidence, p7_layout, p7_fill, p8_mixture, p8_shares, p9_found, p9_shares, p9_statistics)}
 
 ORACLE = {
     "p1_found": """
