@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skylattice.runtime import stage
@@ -32,44 +32,30 @@ def _nodes(df: DataFrame, node: str, parent: str, root_markers: tuple[int, ...])
     return df.select(child.alias("id"), named.alias("parent")).where("id is not null").groupBy("id").agg(F.min("parent").alias("parent"))
 
 
-def _gather(rows: DataFrame) -> DataFrame:
-    """Add the messages to the node they name; messages to unknown nodes fall away."""
-    return (
-        rows.groupBy("id")
-        .agg(F.max("parent").alias("parent"), F.sum("kids").alias("kids"), F.sum("size").alias("size"), F.max("peel").alias("peel"), F.max("clock").alias("clock"), F.max("own").alias("own"))
-        .where("own")
-    )
+# a node's own row and its message to the parent, as rows of one shape
+_OWN = "named_struct('id', id, 'parent', parent, 'kids', kids, 'size', size, 'peel', {peel}, 'clock', clock + 1, 'own', true)"
+_SENT = "named_struct('id', parent, 'parent', cast(null AS long), 'kids', {kids}, 'size', {size}, 'peel', cast(null AS int), 'clock', cast(null AS int), 'own', false)"
 
 
-def _message(to: Column, kids: int, size: Column) -> Column:
-    return F.struct(
-        to.alias("id"),
-        F.lit(None).cast("long").alias("parent"),
-        F.lit(kids).cast("long").alias("kids"),
-        size.cast("long").alias("size"),
-        F.lit(None).cast("int").alias("peel"),
-        F.lit(None).cast("int").alias("clock"),
-        F.lit(False).alias("own"),
-    )
+def _exchange(state: DataFrame, sends: str, peel: str, kids: str, size: str) -> DataFrame:
+    """Add the messages to the node they name; messages to unknown nodes fall away.
 
-
-def _own(peel: Column, clock: Column) -> Column:
-    return F.struct("id", "parent", F.col("kids").cast("long").alias("kids"), F.col("size").cast("long").alias("size"), peel.cast("int").alias("peel"), clock.cast("int").alias("clock"), F.lit(True).alias("own"))
+    The clock is a column, so that all rounds share their compiled code.
+    """
+    own, sent = _OWN.format(peel=peel), _SENT.format(kids=kids, size=size)
+    rows = state.selectExpr(f"inline(CASE WHEN {sends} THEN array({own}, {sent}) ELSE array({own}) END)")
+    return rows.groupBy("id").agg(F.expr("max(parent) AS parent"), F.expr("sum(kids) AS kids"), F.expr("sum(size) AS size"), F.expr("max(peel) AS peel"), F.expr("max(clock) AS clock"), F.expr("max(own) AS own")).where("own")
 
 
 def _count_children(nodes: DataFrame) -> DataFrame:
-    start = nodes.select("id", "parent", F.lit(0).alias("kids"), F.lit(1).alias("size"))
-    own = _own(F.lit(None), F.lit(0))
-    sent = F.when(F.col("parent").isNotNull(), F.array(own, _message(F.col("parent"), 1, F.lit(0)))).otherwise(F.array(own))
-    return _gather(start.select(F.explode(sent).alias("r")).select("r.*"))
+    start = nodes.selectExpr("id", "parent", "cast(0 AS long) AS kids", "cast(1 AS long) AS size", "cast(null AS int) AS peel", "-1 AS clock")
+    return _exchange(start, "parent IS NOT NULL", "peel", "cast(1 AS long)", "cast(0 AS long)")
 
 
 def _peel_round(state: DataFrame) -> DataFrame:
-    """Peel the nodes without children left. The clock is a column, so that all rounds share their compiled code."""
-    leaf = F.col("peel").isNull() & (F.col("kids") == 0)
-    own = _own(F.when(leaf, F.col("clock") + 1).otherwise(F.col("peel")), F.col("clock") + 1)
-    sent = F.when(leaf & F.col("parent").isNotNull(), F.array(own, _message(F.col("parent"), -1, F.col("size")))).otherwise(F.array(own))
-    return _gather(state.select(F.explode(sent).alias("r")).select("r.*"))
+    """Peel the nodes without children left."""
+    leaf = "(peel IS NULL AND kids = 0)"
+    return _exchange(state, f"{leaf} AND parent IS NOT NULL", f"CASE WHEN {leaf} THEN clock + 1 ELSE peel END", "cast(-1 AS long)", "size")
 
 
 def _loop_roots(loops: DataFrame) -> DataFrame:
@@ -110,37 +96,23 @@ def _resolve(block: DataFrame, hops: int, resolved: DataFrame, paths: bool) -> D
 
     Every step leads to a node peeled in a later round, so ``hops`` lookups leave the block.
     """
-    null_long, null_path = F.lit(None).cast("long"), F.lit(None).cast("array<long>")
-    known = block.select(F.col("id").alias("key"), F.col("parent").alias("up"), null_long.alias("r_root"), F.lit(None).cast("int").alias("r_depth"), null_path.alias("r_path"))
-    known = known.unionByName(resolved.select(F.col("id").alias("key"), null_long.alias("up"), F.col("root_id").alias("r_root"), F.col("depth").alias("r_depth"), F.col("path").alias("r_path")))
-    known = known.withColumns({"live": F.lit(True), "hit": F.lit(True)})
-    if not paths:
-        known = known.withColumn("r_path", null_path)
-    walk = block.withColumns({"at": F.col("id"), "next": F.col("parent"), "steps": F.lit(0), "root_id": null_long, "depth": F.lit(None).cast("int"), "path": null_path})
-    walk = walk.withColumn("passed", F.array("id") if paths else null_path)
-    columns = walk.columns
+    none = "cast(null AS array<long>)"
+    path = lambda text: text if paths else none
+    known = block.selectExpr("id AS key", "parent AS up", "cast(null AS long) AS r_root", "cast(null AS int) AS r_depth", f"{none} AS r_path", "true AS live", "true AS hit")
+    known = known.union(resolved.selectExpr("id", "cast(null AS long)", "root_id", "depth", path("path"), "true", "true"))
+    walk = block.selectExpr("id", "parent", "peel", "size", "id AS at", "parent AS next", "0 AS steps", "cast(null AS long) AS root_id", "cast(null AS int) AS depth", f"{none} AS path", f"{path('array(id)')} AS passed")
+    walking = "(depth IS NULL AND next IS NOT NULL)"
+    step = "(hit AND r_depth IS NULL)"
     for _ in range(hops):
         # a row that has ended is keyed by its own id, which spreads evenly, and matches nothing
-        walking = F.col("depth").isNull() & F.col("next").isNotNull()
-        walk = walk.withColumns({"live": walking, "key": F.when(walking, F.col("next")).otherwise(F.col("id"))}).join(known, ["key", "live"], "left")
-        met, step = F.col("r_depth").isNotNull(), F.col("hit") & F.col("r_depth").isNull()
-        walk = walk.select(
-            "id", "parent", "peel", "size",
-            F.when(step, F.col("key")).otherwise(F.col("at")).alias("at"),
-            F.when(step, F.col("up")).alias("next"),
-            F.when(step, F.col("steps") + 1).otherwise(F.col("steps")).alias("steps"),
-            F.coalesce("root_id", "r_root").alias("root_id"),
-            F.when(met, F.when(F.col("r_depth") < 0, F.lit(-1)).otherwise(F.col("r_depth") + F.col("steps") + 1)).otherwise(F.col("depth")).alias("depth"),
-            (F.when(met, F.concat(F.col("r_path"), F.reverse("passed"))).otherwise(F.col("path")) if paths else null_path).alias("path"),
-            (F.when(step, F.concat("passed", F.array("key"))).otherwise(F.col("passed")) if paths else null_path).alias("passed"),
-        ).select(columns)
-    ended = F.col("depth").isNull()
-    return walk.select(
-        "id", "parent", "peel", "size",
-        F.when(ended, F.col("at")).otherwise(F.col("root_id")).alias("root_id"),
-        F.when(ended, F.col("steps")).otherwise(F.col("depth")).alias("depth"),
-        (F.when(ended, F.reverse("passed")).otherwise(F.col("path")) if paths else null_path).alias("path"),
-    )
+        walk = walk.selectExpr("*", f"{walking} AS live", f"CASE WHEN {walking} THEN next ELSE id END AS key").join(known, ["key", "live"], "left")
+        walk = walk.selectExpr(
+            "id", "parent", "peel", "size", f"CASE WHEN {step} THEN key ELSE at END AS at", f"CASE WHEN {step} THEN up END AS next", f"CASE WHEN {step} THEN steps + 1 ELSE steps END AS steps",
+            "coalesce(root_id, r_root) AS root_id", "CASE WHEN r_depth < 0 THEN -1 WHEN r_depth IS NOT NULL THEN r_depth + steps + 1 ELSE depth END AS depth",
+            path("CASE WHEN r_depth IS NOT NULL THEN concat(r_path, reverse(passed)) ELSE path END") + " AS path", path(f"CASE WHEN {step} THEN concat(passed, array(key)) ELSE passed END") + " AS passed",
+        )
+    ended = "CASE WHEN depth IS NULL THEN"
+    return walk.selectExpr("id", "parent", "peel", "size", f"{ended} at ELSE root_id END AS root_id", f"{ended} steps ELSE depth END AS depth", path(f"{ended} reverse(passed) ELSE path END") + " AS path")
 
 
 def hierarchy(df: DataFrame, node: str, parent: str, root_markers: tuple[int, ...] = (-1,), paths: bool = True, rounds_per_stage: int = 8) -> DataFrame:
