@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skylattice.runtime import finite
+from skylattice.runtime import finite, stage
 
 TRIANGLE = ("ax", "ay", "bx", "by", "cx", "cy")
 
@@ -230,16 +230,16 @@ def near_pairs(points: DataFrame, point: str, space: str, tile_points: int = 200
     p = points.select(F.col(point).cast("long").alias("point_id"), F.col(space).alias("space"), *[F.col(c).cast("double").alias(c) for c in ("x", "y", "z", "side", "reach")])
     p = p.where(F.col("point_id").isNotNull() & F.col("space").isNotNull() & finite(F.col("x")) & finite(F.col("y")) & finite(F.col("z")) & (F.col("side") > 0) & (F.col("reach") >= 0))
     p = p.groupBy("point_id").agg(F.first(F.struct(*[c for c in p.columns if c != "point_id"])).alias("r")).select("point_id", "r.*")
-    p = p.withColumns({a: F.pmod(a, "side") for a in ("x", "y", "z")})
+    p = stage(p.withColumns({a: F.pmod(a, "side") for a in ("x", "y", "z")}), "points")
     # about tile_points in a tile, but no tile narrower than the reach
     many = p.groupBy("space").agg(F.count("*").alias("n"), F.max("side").alias("s"), F.max("reach").alias("r"))
     many = many.select("space", F.greatest(F.lit(1), F.least(F.round(F.cbrt(F.col("n") / tile_points)), F.floor(F.try_divide("s", "r")))).cast("int").alias("tiles")).na.fill(1, ["tiles"])
-    p = p.join(many, "space")
+    p = p.join(stage(many, "spaces"), "space")
     # the disc's square is clipped once for each reach and then moved to every point
-    reaches = p.select("reach").distinct()
+    reaches = p.groupBy("reach").agg(F.count("*").alias("n"))
     h = F.col("reach") * (1 + 1e-9)
     squares = reaches.select("reach", F.array(-h, h, h, -h).alias("xs"), F.array(-h, -h, h, h).alias("ys"))
-    shapes = triangulate(squares, "reach")
+    shapes = stage(triangulate(squares, "reach"), "shapes")
     prisms = p.join(shapes, "reach").withColumns({c: F.col(c) + F.col(c[1]) for c in TRIANGLE}).withColumns({"zlo": F.col("z"), "zhi": F.col("z") + h, "ox": F.col("x"), "oy": F.col("y"), "oz": F.col("z")})
     edges = {f"{a}{end}": f(*[F.col(f"{c}{a}") for c in "abc"]) for a in "xy" for end, f in (("lo", F.least), ("hi", F.greatest))}
     prisms = prisms.withColumns(edges).withColumnRenamed("point_id", "region_id").drop("x", "y", "z")
