@@ -24,8 +24,8 @@ from skylattice.functions.cosmology import bin_of
 from skylattice.runtime import finite
 
 N_QUANTILES = 500
-#: rows A y >= b that draws of (cv, spin, ca, ba) must meet: the first three not negative, ca <= ba <= 1
-CONSTRAINTS = (((1, 0, 0, 0), 0), ((0, 1, 0, 0), 0), ((0, 0, 1, 0), 0), ((0, 0, -1, 1), 0), ((0, 0, 0, -1), -1))
+#: weighted sums of properties that draws must not bring below a bound: none negative, ca <= ba <= 1
+CONSTRAINTS = (({"cv": 1}, 0), ({"spin": 1}, 0), ({"ca": 1}, 0), ({"ba": 1, "ca": -1}, 0), ({"ba": -1}, -1))
 
 
 @dataclass
@@ -109,7 +109,8 @@ def predict(df: DataFrame, models: dict[int, BinModel], features: list[str], pro
 
     ``refit`` maps the features by the quantiles of ``df`` itself, as its values
     may be distributed otherwise. Draws that break a constraint are repeated up
-    to ``redraws`` times; what still breaks one is kept and marked. A draw
+    to ``redraws`` times; what still breaks one is kept and marked;
+    constraints on properties that are not drawn do not apply. A draw
     depends on the id and the seed only, not on partitions. Rows without a model
     or with an unknown feature have no row here.
     """
@@ -118,7 +119,7 @@ def predict(df: DataFrame, models: dict[int, BinModel], features: list[str], pro
     schema = f"{id_} {kind}, bin int, " + ", ".join(f"{p} double" for p in properties) + ", constraint_ok boolean"
     own = _quantiles(rows, features, N_QUANTILES, False) if refit and models else {}
     nx = len(features)
-    limits = [(np.asarray(a, dtype=float), float(b)) for a, b in constraints or ()]
+    limits = [(np.array([float(w.get(p, 0)) for p in properties]), float(b)) for w, b in constraints or () if set(w) <= set(properties)]
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -10,6 +10,7 @@ from skylattice.operators import conditional, regions
 from skylattice.operators.calibration import Calibration, calibrate
 from skylattice.operators.stats import calibration_summary
 from skylattice.plans.views import high, low
+from skylattice.runtime import stage
 
 FEATURES, PROPERTIES = ["log10_m200b", "env"], ["cv", "spin", "ca", "ba"]
 EDGES = linear_grid(9.0, 15.0, 7)
@@ -18,7 +19,7 @@ EDGES = linear_grid(9.0, 15.0, 7)
 def _with_features(halos: DataFrame) -> DataFrame:
     near = regions.near_counts(halos, regions.near_pairs(halos.withColumn("reach", F.col("env_radius")), "id", "box"), "id")
     logm = F.log10(F.when(F.col("m200b") > 0, F.col("m200b")))
-    return halos.join(near.select("id", F.log10(1 + F.col("n_near")).alias("env")), "id").withColumn("log10_m200b", logm)
+    return stage(halos.join(near.select("id", F.log10(1 + F.col("n_near")).alias("env")), "id").withColumn("log10_m200b", logm), "features")
 
 
 def l1_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
