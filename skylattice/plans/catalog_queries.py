@@ -126,9 +126,9 @@ def _delta(halos: DataFrame) -> DataFrame:
     return grid.full_grid(grid.overdensity(grid.cloud_in_cell(halos, N), N), N, -1.0)
 
 
-@query(H + _CORNERS + "SELECT space, i, j, k, round(v / 1e10, 5) AS mass FROM dep WHERE v IS NOT NULL")
+@query(H + _CORNERS + "SELECT space, i, j, k, round(v / 1e10, 5) + 0.0 AS mass FROM dep WHERE v IS NOT NULL")
 def a1_cloud_in_cell(spark, sf_dir):
-    return grid.cloud_in_cell(high(spark, sf_dir), N, "m200b").select("space", "i", "j", "k", r(F.col("v") / 1e10, 5).alias("mass"))
+    return grid.cloud_in_cell(high(spark, sf_dir), N, "m200b").select("space", "i", "j", "k", (r(F.col("v") / 1e10, 5) + 0.0).alias("mass"))
 
 
 @query(H + _CORNERS + f"SELECT space, i, j, k, round(num.v / power(side / {N}, 3), 8) AS density FROM num JOIN sides USING (space)")
@@ -306,11 +306,11 @@ def a13_log_median_by_mass(spark, sf_dir):
     return got.select(F.col("bin").cast("int").alias("bin"), r("median").alias("median"), r("mean").alias("mean"))
 
 
-@query(H + f", b AS (SELECT run_id, {_bin_sql(_LOGM, _LOG_EDGES_SQL, 12, False)} AS bin, spin AS v FROM hr WHERE spin IS NOT NULL) SELECT run_id, bin::INTEGER AS bin, count(*) AS n, round(quantile_cont(v, 0.5), 8) AS median, round(stddev_pop(v), 8) AS std, round((quantile_cont(v, 0.8415) - quantile_cont(v, 0.1585)) / 2, 8) AS half_width, round(CASE WHEN count(*) = 1 THEN 0 ELSE stddev_samp(v) / sqrt(count(*)) END, 8) AS sem FROM b WHERE bin IS NOT NULL GROUP BY ALL")
+@query(H + f", b AS (SELECT run_id, {_bin_sql(_LOGM, _LOG_EDGES_SQL, 12, False)} AS bin, spin AS v FROM hr WHERE spin IS NOT NULL) SELECT run_id, bin::INTEGER AS bin, count(*) AS n, round(quantile_cont(v, 0.5), 8) AS median, round(stddev_pop(v), 8) AS std, round((quantile_cont(v, 0.8415) - quantile_cont(v, 0.1585)) / 2, 12) AS half_width, round(CASE WHEN count(*) = 1 THEN 0 ELSE stddev_samp(v) / sqrt(count(*)) END, 8) AS sem FROM b WHERE bin IS NOT NULL GROUP BY ALL")
 def a14_binned_spread(spark, sf_dir):
     rows = high(spark, sf_dir)
     got = stats.binned(rows, F.log10(F.when(F.col("m200b") > 0, F.col("m200b"))), LOG_EDGES, "spin", ["run_id"])
-    return got.select("run_id", F.col("bin").cast("int").alias("bin"), "n", *[r(c, 8).alias(c) for c in ("median", "std", "half_width", "sem")])
+    return got.select("run_id", F.col("bin").cast("int").alias("bin"), "n", *[r(c, 12 if c == "half_width" else 8).alias(c) for c in ("median", "std", "half_width", "sem")])
 
 
 _X_EDGES, _Y_EDGES = C.linear_grid(0.0, 1.0, 16), C.linear_grid(0.0, 1.0, 16)
@@ -457,9 +457,10 @@ def m11_eigenvalues(spark, sf_dir):
 @query()
 def m12_tidal_descriptors(spark, sf_dir):
     halos = high(spark, sf_dir)
-    tensors = fields.tidal_tensors(_delta(halos), box_sides(halos), N, [4.0, 8.0, 16.0])
-    placed = grid.nearest_cells(grid.placed(halos), N).withColumns({"space": F.col("box"), "rg": 20 * C.gaussian_radius(C.r200b(F.col("m200b"), F.col("om"), F.col("h")))})
-    got = environment.descriptors(placed, tensors, [4.0, 8.0, 16.0])
+    scales = [0.125, *SCALES]
+    tensors = fields.tidal_tensors(_delta(halos), box_sides(halos), N, scales)
+    placed = grid.nearest_cells(grid.placed(halos), N).withColumns({"space": F.col("box"), "rg": C.gaussian_radius(C.r200b(F.col("m200b"), F.col("om"), F.col("h")))})
+    got = environment.descriptors(placed, tensors, scales)
     return got.select("id", r("tidal_anisotropy", 4).alias("tidal_anisotropy"), r("overdensity", 4).alias("overdensity"))
 
 

@@ -13,7 +13,7 @@ from skylattice.operators.calibration import Calibration
 @dataclass(frozen=True)
 class Grid:
     n: int = 8
-    scales: tuple[float, ...] = (4.0, 8.0, 16.0)
+    scales: tuple[float, ...] = (0.125, 0.25, 0.5, 1.0, 2.0, 4.0)
     physical: bool = True
 
 
