@@ -87,22 +87,27 @@ def _location(a: str) -> Column:
 
 
 def candidates(index: DataFrame, asking: DataFrame) -> DataFrame:
-    """All pairs within the match radius and mass distance of their run, with bm25 and the attribute differences."""
+    """All pairs within the match radius and mass distance of their run, with bm25 and the attribute differences.
+
+    The essential lists, of the location terms, are joined first and without the
+    other terms, which are looked up for the pairs that remain.
+    """
     cells = F.greatest(F.lit(1), F.floor(F.col("side") / F.col("r_match"))).cast("long")
-    held = index.withColumn("cells", cells).select("box", *[_location(a).alias(f"c{a}") for a in "xyz"], F.col("id").alias("hr"), *[F.col(c).alias(f"h_{c}") for c in ("x", "y", "z", "lm", "ls", "mass", "terms", "weights")], "n_docs")
-    ask = asking.withColumn("cells", cells).withColumn("l_terms", terms())
+    own = ("x", "y", "z", "lm", "ls", "mass")
+    held = index.withColumn("cells", cells).select("box", *[_location(a).alias(f"c{a}") for a in "xyz"], F.col("id").alias("hr"), *[F.col(c).alias(f"h_{c}") for c in own], "n_docs")
+    ask = asking.withColumn("cells", cells)
     for a in "xyz":
         # one cell to either side reaches as far as the radius; with few cells the images coincide
         ask = ask.withColumn(f"c{a}", F.explode(F.array_distinct(F.array(*[F.pmod(_location(a) + k, F.col("cells")) for k in (-1, 0, 1)]))))
-    ask = ask.select("box", "cx", "cy", "cz", F.col("id").alias("lr"), *[F.col(c).alias(f"l_{c}") for c in ("x", "y", "z", "lm", "ls", "mass")], "l_terms", "side", "r_match", "max_gap")
+    ask = ask.select("box", "cx", "cy", "cz", F.col("id").alias("lr"), *[F.col(c).alias(f"l_{c}") for c in own], "side", "r_match", "max_gap")
     apart = lambda a: F.col(f"l_{a}") - F.col(f"h_{a}") - F.col("side") * F.rint((F.col(f"l_{a}") - F.col(f"h_{a}")) / F.col("side"))
-    pairs = held.join(ask, ["box", "cx", "cy", "cz"]).withColumn("d", F.sqrt(apart("x") ** 2 + apart("y") ** 2 + apart("z") ** 2))
+    met = held.join(ask, ["box", "cx", "cy", "cz"]).withColumn("d", F.sqrt(apart("x") ** 2 + apart("y") ** 2 + apart("z") ** 2))
     fits = F.coalesce(F.abs(F.col("l_mass") - F.col("h_mass")) / F.col("h_mass") < F.col("max_gap"), F.lit(True))
-    shared = F.zip_with(F.zip_with("h_terms", "l_terms", lambda h, q: F.coalesce(h == q, F.lit(False))), "h_weights", lambda same, w: F.when(same, w).otherwise(F.lit(0.0)))
-    return pairs.where((F.col("d") < F.col("r_match")) & fits).select(
-        "hr", "lr", "d", (F.col("l_lm") - F.col("h_lm")).alias("dm"), (F.col("l_ls") - F.col("h_ls")).alias("ds"),
-        F.aggregate(shared, F.lit(0.0), lambda s, w: s + w).alias("bm25"), (F.col("n_docs") / F.col("side") ** 3).alias("density"),
-    )
+    near = met.where((F.col("d") < F.col("r_match")) & fits)
+    near = near.select("hr", "lr", "d", (F.col("l_lm") - F.col("h_lm")).alias("dm"), (F.col("l_ls") - F.col("h_ls")).alias("ds"), (F.col("n_docs") / F.col("side") ** 3).alias("density"))
+    pairs = near.join(index.select(F.col("id").alias("hr"), F.col("terms").alias("h_terms"), "weights"), "hr").join(asking.select(F.col("id").alias("lr"), terms().alias("l_terms")), "lr")
+    shared = F.zip_with(F.zip_with("h_terms", "l_terms", lambda h, q: F.coalesce(h == q, F.lit(False))), "weights", lambda same, w: F.when(same, w).otherwise(F.lit(0.0)))
+    return pairs.select("hr", "lr", "d", "dm", "ds", F.aggregate(shared, F.lit(0.0), lambda s, w: s + w).alias("bm25"), "density")
 
 
 def mutual(pairs: DataFrame, score: str) -> DataFrame:
@@ -174,7 +179,8 @@ def match(documents: DataFrame, asking: DataFrame, rounds: int = 4, least: float
     in the score go to the nearer pair, then to the smaller id. Matches have at
     least confidence ``least``. Empty catalogues give an empty result.
     """
-    index = stage(indexed(documents), "index")
+    asking = stage(asking, "asking")
+    index = stage(indexed(stage(documents, "documents")), "index")
     pairs = stage(candidates(index, asking), "candidates")
     seeds = mutual(pairs, "bm25")
     widths = spreads(seeds)
