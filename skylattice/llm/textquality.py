@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skylattice.runtime import stage
+
 STATES = ("prose", "list", "table", "junk")
 #: a document is prose when more than this share of its characters is
 PROSE_SHARE = 0.2
@@ -140,34 +142,58 @@ def _analysed(text: str, common: frozenset[str]) -> list[tuple[tuple[int, ...],
     return [(line_statistics(line, common), len(line)) for line in lines_of(text)]
 
 
-def model_counts(documents: DataFrame, text: str, common: list[str]) -> DataFrame:
-    """(table, state, level, n): how often each state emits each level and follows each state, over all documents.
+def _code(stats: tuple[int, ...]) -> int:
+    """All levels of a line in one number."""
+    code = 0
+    for level, size in zip(stats, LEVELS, strict=True):
+        code = code * size + level
+    return code
 
-    table -1 holds the first states, -2 the transitions (level is the state followed), 0 and up the statistics.
+
+def _decoded(codes: np.ndarray) -> np.ndarray:
+    """The levels (columns) of coded lines (rows)."""
+    columns = []
+    for size in reversed(LEVELS):
+        columns.append(codes % size)
+        codes = codes // size
+    return np.stack(columns[::-1], axis=1)
+
+
+def analysed_lines(documents: DataFrame, id_: str, text: str, common: list[str]) -> DataFrame:
+    """(id, short_answer, codes, characters, labels): the coded statistics, length and rough label of every line.
+
+    Each text is read once, whole; texts without a non-blank line have empty arrays.
     """
-    known = frozenset(common)
+    known, kind = frozenset(common), documents.schema[id_].dataType.simpleString()
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        emitted = np.zeros((len(LEVELS), len(STATES), max(LEVELS)), dtype=np.int64)
-        first, moved = np.zeros(len(STATES), dtype=np.int64), np.zeros((len(STATES), len(STATES)), dtype=np.int64)
+    def analyse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for t in batch[text]:
-                before = -1
-                lines = _analysed(t, known)
-                for (stats, _), state in zip(lines, rough_labels(lines), strict=True):
-                    for k, level in enumerate(stats):
-                        emitted[k, state, level] += 1
-                    if before < 0:
-                        first[state] += 1
-                    else:
-                        moved[before, state] += 1
-                    before = state
-        rows = [(k, s, v, emitted[k, s, v]) for k in range(len(LEVELS)) for s in range(len(STATES)) for v in range(LEVELS[k])]
-        rows += [(-1, s, 0, first[s]) for s in range(len(STATES))] + [(-2, s, b, moved[b, s]) for s in range(len(STATES)) for b in range(len(STATES))]
-        yield pd.DataFrame(rows, columns=["table", "state", "level", "n"])
-
-    texts = documents.select(text).where(F.col(text).isNotNull())
-    return texts.mapInPandas(count, "table int, state int, level int, n long").groupBy("table", "state", "level").agg(F.sum("n").alias("n"))
+            rows = []
+            for i, t in zip(batch[id_], batch[text], strict=True):
+                lines = _analysed(t, known) if t else []
+                rows.append((i, bool(lines) and short_answer(t), [_code(s) for s, _ in lines], [c for _, c in lines], rough_labels(lines)))
+            yield pd.DataFrame(rows, columns=[id_, "short_answer", "codes", "characters", "labels"])
+
+    return documents.select(id_, text).mapInPandas(analyse, f"{id_} {kind}, short_answer boolean, codes array<int>, characters array<int>, labels array<int>")
+
+
+def model_counts(lines: DataFrame) -> list[tuple[int, int, int, int]]:
+    """(table, state, level, n): how often each state emits each level and follows each state, over all documents.
+
+    table -1 holds the first states, -2 the transitions (level is the state followed), 0 and up the statistics.
+    The different statistics, label and label before are counted in Spark; a few thousand kinds come back.
+    """
+    before = F.concat(F.array(F.lit(-1)), F.slice("labels", 1, F.greatest(F.size("labels") - 1, F.lit(0))))
+    each = lines.where(F.size("codes") > 0).select(F.explode(F.arrays_zip("codes", "labels", before.alias("before"))).alias("l"))
+    kinds = each.groupBy("l.codes", "l.labels", "l.before").agg(F.count("*").alias("n")).toPandas()
+    found: dict[tuple[int, int, int], int] = {}
+    levels = _decoded(kinds["codes"].to_numpy()) if len(kinds) else np.empty((0, len(LEVELS)), dtype=int)
+    for row, label, previous, n in zip(levels, kinds["labels"], kinds["before"], kinds["n"], strict=True):
+        for k, level in enumerate(row):
+            found[k, label, level] = found.get((k, label, level), 0) + n
+        key = (-1, label, 0) if previous < 0 else (-2, label, previous)
+        found[key] = found.get(key, 0) + n
+    return [(int(t), int(s), int(v), int(n)) for (t, s, v), n in found.items()]
 
 
 def short_answer(text: str) -> bool:
@@ -210,25 +236,24 @@ def label_shares(documents: DataFrame, id_: str, text: str, common: list[str]) -
     Texts without a non-blank line, null ones too, have 0 lines and null shares.
     Every row gives a row; texts are read whole, long lines included.
     """
-    counts = [tuple(r) for r in model_counts(documents, text, common).collect()]  # at most a few hundred figures
-    known, kind = frozenset(common), documents.schema[id_].dataType.simpleString()
+    lines = stage(analysed_lines(documents, id_, text, common), "lines")
+    counts, kind = model_counts(lines), documents.schema[id_].dataType.simpleString()
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = LineModel(counts)
         for batch in batches:
             rows = []
-            for i, t in zip(batch[id_], batch[text], strict=True):
-                lines = _analysed(t, known) if t else []
-                if not lines:
+            for i, short, codes, characters in zip(batch[id_], batch["short_answer"], batch["codes"], batch["characters"], strict=True):
+                if not len(codes):
                     rows.append((i, 0, False, *[None] * len(STATES)))
                     continue
-                states = model.decode(np.array([s for s, _ in lines]))
-                share = np.bincount(states, weights=[c for _, c in lines], minlength=len(STATES)) / sum(c for _, c in lines)
-                rows.append((i, len(lines), short_answer(t), *share.tolist()))
+                states = model.decode(_decoded(np.asarray(codes)))
+                share = np.bincount(states, weights=characters, minlength=len(STATES)) / sum(characters)
+                rows.append((i, len(codes), short, *share.tolist()))
             frame = pd.DataFrame(rows, columns=[id_, "n_lines", "short_answer", *[f"{s}_share" for s in STATES]], dtype=object)
             yield frame.where(frame.notna(), None)
 
-    return documents.select(id_, text).mapInPandas(label, f"{id_} {kind}, n_lines long, short_answer boolean, " + ", ".join(f"{s}_share double" for s in STATES))
+    return lines.select(id_, "short_answer", "codes", "characters").mapInPandas(label, f"{id_} {kind}, n_lines long, short_answer boolean, " + ", ".join(f"{s}_share double" for s in STATES))
 
 
 def not_prose(shares: DataFrame) -> Column:
