@@ -10,6 +10,7 @@ then decoded. The share of characters under each label describes the document.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -87,8 +88,8 @@ def line_statistics(line: str, common: frozenset[str]) -> tuple[int, ...]:
     clause = min(2, sum(w in CLAUSE_WORDS for w in words))
     distinct = len(set(words)) / max(1, len(words))
     return (
-        5 * int(np.searchsorted((0.001, 0.12, 0.2, 0.3), share, "right")) + int(np.searchsorted((1, 3, 5, 8), len(words), "right")),
-        4 if spaced else int(np.searchsorted((0.001, 0.1, 0.3, 0.6), other, "right")),
+        5 * bisect_right((0.001, 0.12, 0.2, 0.3), share) + bisect_right((1, 3, 5, 8), len(words)),
+        4 if spaced else bisect_right((0.001, 0.1, 0.3, 0.6), other),
         1 if marker else 3 if values >= 2 or "</t" in bare or bare.lstrip()[:1] == "|" else 2 if len(_CELLS.findall(bare)) > max(1, len(words) // 4) else 0,
         3 * pause + clause,
         2 if odd > 0.3 * len(tokens) or spaced else 1 if odd else 0,
