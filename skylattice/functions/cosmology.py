@@ -52,8 +52,10 @@ def wave_number(index: Column, n, side) -> Column:
     return 2 * math.pi / F.lit(side) * F.when(index < F.floor((F.lit(n) + 1) / 2), index).otherwise(index - F.lit(n))
 
 
-def gaussian_window(k2: Column, radius: float | None) -> Column:
+def gaussian_window(k2: Column, radius: Column | float | None) -> Column:
     """exp(-k^2 R^2 / 2), elementwise; no radius or one that is not positive smooths nothing."""
+    if isinstance(radius, Column):
+        return F.exp(-0.5 * k2 * F.pow(F.greatest(radius, F.lit(0.0)), F.lit(2)))
     return F.lit(1.0) if radius is None or radius <= 0 else F.exp(-0.5 * k2 * radius * radius)
 
 

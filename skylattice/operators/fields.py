@@ -26,29 +26,38 @@ def _kind(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
 
-def _pass(cells: DataFrame, axis: str, n: int, inverse: bool, keys: list[str]) -> DataFrame:
-    """Transform along one axis; absent cells are 0."""
+def _pass(cells: DataFrame, axis: str, n: int, inverse: bool, keys: list[str], parts: tuple[str, ...]) -> DataFrame:
+    """Transform all parts along one axis; absent cells are 0."""
     others = [*keys, *[a for a in AXES if a != axis]]
-    pencils = cells.groupBy(*others).agg(F.collect_list(F.struct(F.col(axis).alias("at"), "re", "im")).alias("p"))
-    pencils = pencils.select(*others, F.transform("p", lambda c: c["at"]).alias("at"), F.transform("p", lambda c: c["re"]).alias("re"), F.transform("p", lambda c: c["im"]).alias("im"))
-    schema = ", ".join(f"{c} {_kind(cells, c)}" for c in others) + ", re array<double>, im array<double>"
+    columns = [f"{c}{part}" for part in parts for c in ("re", "im")]
+    pencils = cells.groupBy(*others).agg(F.collect_list(F.struct(F.col(axis).alias("at"), *columns)).alias("p"))
+    pencils = pencils.select(*others, *[F.col(f"p.{c}").alias(c) for c in ("at", *columns)])
+    schema = ", ".join([*[f"{c} {_kind(cells, c)}" for c in others], *[f"{c} array<double>" for c in columns]])
 
     def transform(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            dense = np.zeros((len(batch), n), dtype=complex)
-            for row, (at, re, im) in enumerate(zip(batch["at"], batch["re"], batch["im"], strict=True)):
-                dense[row, at] = np.asarray(re) + 1j * np.asarray(im)
-            out = np.fft.ifft(dense, axis=1) if inverse else np.fft.fft(dense, axis=1)
-            yield batch[others].assign(re=list(out.real), im=list(out.imag))
+            if not len(batch):
+                continue
+            row, at = np.repeat(np.arange(len(batch)), batch["at"].map(len)), np.concatenate(batch["at"].to_list())
+            out = batch[others].copy()
+            for part in parts:
+                dense = np.zeros((len(batch), n), dtype=complex)
+                dense[row, at] = np.concatenate(batch[f"re{part}"].to_list()) + 1j * np.concatenate(batch[f"im{part}"].to_list())
+                moved = np.fft.ifft(dense, axis=1) if inverse else np.fft.fft(dense, axis=1)
+                out[f"re{part}"], out[f"im{part}"] = list(moved.real), list(moved.imag)
+            yield out
 
     done = pencils.mapInPandas(transform, schema)
-    return done.select(*others, F.posexplode(F.arrays_zip("re", "im")).alias(axis, "c")).select(*keys, *[F.col(a).cast("int").alias(a) for a in AXES], F.col("c.re").alias("re"), F.col("c.im").alias("im"))
+    return done.select(*others, F.posexplode(F.arrays_zip(*columns)).alias(axis, "c")).select(*keys, *[F.col(a).cast("int").alias(a) for a in AXES], *[F.col(f"c.{c}").alias(c) for c in columns])
 
 
-def fft3(cells: DataFrame, n: int, inverse: bool = False, keys: list[str] | None = None) -> DataFrame:
-    """(keys, i, j, k, re, im): the transform of each cube of n^3 cells given as (keys, i, j, k, re, im)."""
+def fft3(cells: DataFrame, n: int, inverse: bool = False, keys: list[str] | None = None, parts: tuple[str, ...] = ("",)) -> DataFrame:
+    """(keys, i, j, k, re, im): the transform of each cube of n^3 cells given as (keys, i, j, k, re, im).
+
+    Several cubes of one key travel as ``parts``: columns re and im with the part's name behind.
+    """
     for axis in ("k", "j", "i"):
-        cells = _pass(cells, axis, n, inverse, keys or ["space"])
+        cells = _pass(cells, axis, n, inverse, keys or ["space"], parts)
     return cells
 
 
@@ -70,17 +79,16 @@ def tidal_tensors(delta: DataFrame, sides: DataFrame, n: int, scales: list[float
     tables, in which T11 stands in the place of T02 and the other way round.
     """
     waves = stage(spectrum(delta, n).join(sides, "space"), "spectrum")
-    k = _waves(n, F.col("side"))
-    k2 = k[0] ** 2 + k[1] ** 2 + k[2] ** 2
-    names = [(0, 0, "t00"), (0, 1, "t01"), (0, 2, "t02"), (1, 1, "t11"), (1, 2, "t12"), (2, 2, "t22")]
-    parts = [
-        F.struct(F.lit(float(s) if s is not None else 0.0).alias("scale"), F.lit(name).alias("component"), F.coalesce(F.try_divide(k[a] * k[b], k2), F.lit(0.0)).alias("f"), gaussian_window(k2, s).alias("w"))
-        for s in scales for a, b, name in names
-    ]
-    scaled = waves.select("space", *AXES, "re", "im", F.explode(F.array(*parts)).alias("p"))
-    scaled = scaled.select("space", "p.scale", "p.component", *AXES, (F.col("re") * F.col("p.f") * F.col("p.w")).alias("re"), (F.col("im") * F.col("p.f") * F.col("p.w")).alias("im"))
-    back = fft3(scaled, n, inverse=True, keys=["space", "scale", "component"])
-    wide = back.groupBy("space", "scale", *AXES).pivot("component", [name for *_, name in names]).agg(F.first(F.col("re").cast(kind)))
+    rows = waves.select("space", *AXES, "re", "im", "side", F.explode(F.array(*[F.lit(float(s) if s is not None else 0.0) for s in scales])).alias("scale"))
+    rows = rows.withColumns({f"k_{a}": w for a, w in zip(AXES, _waves(n, F.col("side")), strict=True)})
+    k2 = F.col("k_i") ** 2 + F.col("k_j") ** 2 + F.col("k_k") ** 2
+    rows = rows.withColumns({"k2": k2, "w": gaussian_window(k2, F.col("scale"))})
+    # the six components of a cell stay in one row through all passes
+    names = {"t00": "ii", "t01": "ij", "t02": "ik", "t11": "jj", "t12": "jk", "t22": "kk"}
+    factor = {t: F.coalesce(F.try_divide(F.col(f"k_{a}") * F.col(f"k_{b}"), "k2"), F.lit(0.0)) * F.col("w") for t, (a, b) in names.items()}
+    scaled = rows.select("space", "scale", *AXES, *[(F.col(c) * f).alias(f"{c}{t}") for t, f in factor.items() for c in ("re", "im")])
+    back = fft3(scaled, n, inverse=True, keys=["space", "scale"], parts=tuple(names))
+    wide = back.select("space", "scale", *AXES, *[F.col(f"re{t}").cast(kind).alias(t) for t in names])
     return wide if physical else wide.withColumns({"t02": F.col("t11"), "t11": F.col("t02")})
 
 
