@@ -63,7 +63,8 @@ def consolidate(records: DataFrame, key: tuple[str, ...], row_bytes: int, file_b
 
     once: rows with equal keys become one row, the one with the least other
     columns; they are pre-aggregated before any shuffle, so that copies of one
-    key do not meet in bulk. Else all duplicates are preserved. row_bytes is the
+    key do not meet in bulk. Else all duplicates are preserved, and those of one
+    key may spread over several files. row_bytes is the
     average size of a row on disk, known from the schema. Null keys sort first
     and count as equal. An empty input gives one empty data set and no files.
     """
@@ -74,7 +75,10 @@ def consolidate(records: DataFrame, key: tuple[str, ...], row_bytes: int, file_b
     runs = stage(records, "runs")
     ranges = max(1, math.ceil(runs.count() * row_bytes / file_bytes))
     path = path or staged_path(records.sparkSession, "consolidated")
-    merged = runs.repartitionByRange(ranges, *key).sortWithinPartitions(*key)
+    # where duplicates stay, the ranges are cut within a key too, so that a hot key is no hot task
+    copy = "_".join(["copy", *records.columns])
+    numbered = runs if once else runs.withColumn(copy, F.monotonically_increasing_id())
+    merged = numbered.repartitionByRange(ranges, *key, *([] if once else [copy])).sortWithinPartitions(*key).drop(copy)
     # a range that came out too large rolls to a further file, still in key order
     merged.write.option("maxRecordsPerFile", max(1, file_bytes // row_bytes)).parquet(path)
     rows = records.sparkSession.read.schema(records.schema).parquet(path)

@@ -27,6 +27,14 @@ def test_duplicates_can_stay_and_files_roll(spark):
     assert all(a.max_descriptor_halo_id < b.min_descriptor_halo_id for a, b in zip(files, files[1:]))
 
 
+def test_a_hot_key_spreads_where_duplicates_stay(spark):
+    hot = spark.range(1000).selectExpr("CASE WHEN id < 900 THEN 7 ELSE id END AS descriptor_halo_id", "1 AS cell_x", "1 AS cell_y", "1 AS cell_z", "id AS copy")
+    done = consolidate(hot, RECORD_KEY, 60, file_bytes=60 * 100, once=False)
+    assert sorted(r.copy for r in done.rows.collect()) == list(range(1000))
+    # the tasks that wrote the hot key
+    assert len({f.file_name.split("-")[1] for f in done.files.where("min_descriptor_halo_id = 7").collect()}) >= 5
+
+
 def test_empty(spark):
     done = consolidate(made(spark).limit(0), RECORD_KEY, 60)
     assert done.rows.count() == 0
