@@ -19,6 +19,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +29,8 @@ SECTION = 32
 SHARE_ERROR = 0.005
 #: a worker holds so many values before it compacts them, so its memory is bounded
 BUFFER_ROWS = 1_000_000
+#: the sketches of so many partitions are merged first, these then with each other, so no task merges those of all partitions
+MERGE_FAN = 256
 
 
 class Compactors:
@@ -121,13 +124,14 @@ def sketches(df: DataFrame, keys: list[str], fields: list[str], missing: tuple[f
     """(keys, field_name, n, levels, counters): one sketch for each group and field.
 
     Each partition first makes sketches of its own rows; only these are shuffled
-    and merged, so a hot group costs no more than others. Null, NaN and infinite
+    and merged, in two steps, so a hot group costs no more than others. Null, NaN and infinite
     values and the ``missing`` markers do not count; a null key is a group of its
     own; groups without a value have no sketch; columns beside keys and fields
     are ignored.
     """
     flat = df.select(*keys, *[counted(F.col(f), missing).alias(f) for f in fields])
-    schema = f"{_kinds(df, keys)}, field_name string, {SKETCH}"
+    names = [*keys, "field_name", "merge_part"]
+    schema = ", ".join(k for k in (_kinds(df, keys), f"field_name string, merge_part int, {SKETCH}") if k)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size, open_ = [], 0, {}
@@ -151,11 +155,12 @@ def sketches(df: DataFrame, keys: list[str], fields: list[str], missing: tuple[f
                 held, size = [], 0
         if held:
             fold()
-        rows = [(*name, *s.row()) for name, s in open_.items()]
+        part = TaskContext.get().partitionId() // MERGE_FAN
+        rows = [(*name, part, *s.row()) for name, s in open_.items()]
         for k in range(0, len(rows), 500):
-            yield pd.DataFrame(rows[k : k + 500], columns=[*keys, "field_name", "n", "levels", "counters"], dtype=object)
+            yield pd.DataFrame(rows[k : k + 500], columns=[*names, "n", "levels", "counters"], dtype=object)
 
-    return merged(flat.mapInPandas(partial, schema), [*keys, "field_name"], section, protect)
+    return merged(merged(flat.mapInPandas(partial, schema), names, section, protect), [*keys, "field_name"], section, protect)
 
 
 def _by_key(df: DataFrame, keys: list[str], *order: str) -> DataFrame:

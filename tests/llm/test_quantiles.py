@@ -51,3 +51,13 @@ def test_in_spark(spark):
         near = {r.id: r.below for r in Q.sketched_counts(asked, daily.drop("field_name"), ["g", "day"], "id", blocks=blocks).collect()}
         assert near[1] == pytest.approx(exact[1][1], abs=0.01 * len(own))
     assert Q.sketches(df.limit(0), ["g"], ["v"]).count() == 0
+
+
+def test_merging_in_two_steps(spark, monkeypatch):
+    monkeypatch.setattr(Q, "MERGE_FAN", 2)
+    df = spark.range(0, 40_000, 1, 7).selectExpr("cast(id * 7919 % 40000 AS double) AS v", "CASE WHEN id % 3 > 0 THEN 1 END AS g")
+    for keys in ([], ["g"]):
+        made = Q.sketches(df, keys, ["v"])
+        found = made.collect()
+        assert sum(r.n for r in found) == 40_000 and len(found) == (2 if keys else 1)
+        assert all(abs(r.pct_value - 20_000) < 400 for r in Q.percentiles(made, [*keys, "field_name"], [50.0]).collect())
