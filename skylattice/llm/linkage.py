@@ -11,6 +11,8 @@ which prunes without loss.
 Pairs that are nearest to each other under BM25 show how far the attributes of
 matching halos differ. With these spreads an exact check re-scores all
 candidates by their attributes themselves; again each must be the other's best.
+By default this score decides and BM25 only finds the spreads, which is not the
+ranking by BM25 that retrieval by index means; ``rank="bm25"`` gives that one.
 The confidence comes from the gap between the best and the next best score by
 logistic calibration against decoys, halos moved to another place of their box.
 """
@@ -110,9 +112,12 @@ def candidates(index: DataFrame, asking: DataFrame) -> DataFrame:
     return pairs.select("hr", "lr", "d", "dm", "ds", F.aggregate(shared, F.lit(0.0), lambda s, w: s + w).alias("bm25"), "density")
 
 
-def mutual(pairs: DataFrame, score: str) -> DataFrame:
-    """The pairs in which each is the other's best, with ``gap`` to the next best, or to 0, of either."""
-    of = lambda one, other: Window.partitionBy(one).orderBy(F.desc(score), "d", other)
+def mutual(pairs: DataFrame, score: str, ties: tuple[str, ...] = ()) -> DataFrame:
+    """The pairs in which each is the other's best, with ``gap`` to the next best, or to 0, of either.
+
+    Equal scores go to the higher ``ties``, then to the nearer pair and the smaller id.
+    """
+    of = lambda one, other: Window.partitionBy(one).orderBy(F.desc(score), *[F.desc(t) for t in ties], "d", other)
     seen = pairs.withColumns({"l_rank": F.row_number().over(of("lr", "hr")), "l_next": F.lead(score).over(of("lr", "hr"))})
     seen = seen.withColumns({"h_rank": F.row_number().over(of("hr", "lr")), "h_next": F.lead(score).over(of("hr", "lr"))})
     best = seen.where("l_rank = 1 AND h_rank = 1")
@@ -171,14 +176,22 @@ def _gaps(pairs: DataFrame, rows: int) -> np.ndarray:
     return np.array([r.gap for r in pairs.select("gap").limit(rows).collect()], dtype=float)
 
 
-def match(documents: DataFrame, asking: DataFrame, rounds: int = 4, least: float = 0.5, calibration_rows: int = CALIBRATION_ROWS) -> DataFrame:
+def match(documents: DataFrame, asking: DataFrame, rounds: int = 4, least: float = 0.5, calibration_rows: int = CALIBRATION_ROWS, rank: str = "score") -> DataFrame:
     """(hr, lr, d, bm25, score, gap, confidence): the matches of two :func:`prepared` catalogues.
 
     Each halo is in at most one match. After the pairs that are best for both,
     halos left over get their best among those left, up to ``rounds`` times. Ties
     in the score go to the nearer pair, then to the smaller id. Matches have at
     least confidence ``least``. Empty catalogues give an empty result.
+
+    ``rank`` names what picks the best pairs and gives the gaps. With "score" the
+    exact check does, and can overturn BM25; with "bm25" it only breaks ties and
+    confirms, by a score above 0. The README has the recall and precision of both.
     """
+    if rank not in ("score", "bm25"):
+        raise ValueError(f"rank must be score or bm25, not {rank}")
+    ties = ("score",) if rank == "bm25" else ()
+    fits = "score > 0" if rank == "bm25" else "gap > 0 OR score > 0"
     asking = stage(asking, "asking")
     index = stage(indexed(stage(documents, "documents")), "index")
     pairs = stage(candidates(index, asking), "candidates")
@@ -192,10 +205,10 @@ def match(documents: DataFrame, asking: DataFrame, rounds: int = 4, least: float
     total = max(1, asking.count())
     chosen = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1_000_000)) < math.ceil(1e6 * min(1.0, calibration_rows / total))
     moved = asking.where(chosen).withColumns({a: F.pmod(F.col(a) + F.col("side") * f, "side") for a, f in (("x", 0.5), ("y", 0.43), ("z", 0.57))})
-    decoys = _gaps(mutual(candidates(index, moved).withColumn("score", score), "score"), calibration_rows)
+    decoys = _gaps(mutual(candidates(index, moved).withColumn("score", score), rank, ties), calibration_rows)
     left, found = scored, []
     for k in range(rounds):
-        best = stage(mutual(left, "score").where("gap > 0 OR score > 0"), "best")
+        best = stage(mutual(left, rank, ties).where(fits), "best")
         if k == 0:
             real = _gaps(best.join(asking.where(chosen).select(F.col("id").alias("lr")), "lr", "left_semi"), calibration_rows)
             slope, shift = calibration(real, decoys)

@@ -47,3 +47,16 @@ def test_nothing_to_match(spark):
     high, low, _ = catalogues(spark, 30)
     assert linkage.match(high, low.limit(0)).count() == 0
     assert linkage.match(high.limit(0), low).count() == 0
+
+
+def test_bm25_can_decide(spark):
+    high, low, truth = catalogues(spark, 200, 5)
+    pairs = linkage.candidates(linkage.indexed(high), low).collect()
+    best = {}
+    for r in pairs:
+        for key in (("hr", r.hr), ("lr", r.lr)):
+            best[key] = max(best.get(key, 0.0), r.bm25)
+    rows = linkage.match(high, low, rounds=1, least=0.0, rank="bm25").collect()
+    assert len({(r.hr, r.lr) for r in rows} & truth) >= 0.8 * len(truth)
+    for r in rows:
+        assert r.score > 0 and abs(r.bm25 - best["hr", r.hr]) < 1e-9 and abs(r.bm25 - best["lr", r.lr]) < 1e-9 and 0 <= r.gap <= r.bm25
