@@ -116,35 +116,41 @@ def _resolve(block: DataFrame, hops: int, resolved: DataFrame, paths: bool) -> D
 
 
 def hierarchy(df: DataFrame, node: str, parent: str, root_markers: tuple[int, ...] = (-1,), paths: bool = True, rounds_per_stage: int = 8) -> DataFrame:
-    """(id, parent, root_id, depth, path, size, on_loop): one row for each node.
+    """(id, parent, root_id, depth, path, size, on_loop, hang): one row for each node.
 
     depth is 0 at a root, which is a node whose parent is null, a root marker or
     not in the table; path runs from the root to the node; size counts the node
     and all its descendants. Nodes on a closed loop and below one have depth -1,
     the smallest id of the loop as root_id and a null path; size is null on the
-    loop. Input cases as in :func:`peel`; an empty table gives an empty result.
+    loop. hang is, for nodes below a loop only, the path to the node from the one
+    whose parent is on the loop. Input cases as in :func:`peel`; an empty table gives an empty result.
     """
     peeled = peel(df, node, parent, root_markers, rounds_per_stage)
     loops = peeled.loops
     columns = ("id", "parent", "root_id", "depth", "path", "size", "on_loop")
+    # an empty path on the loop, so that paths below it begin at the node that hangs on it
+    start = f"cast({'array()' if paths else 'null'} AS array<long>)"
     if loops.isEmpty():
-        resolved = loops.selectExpr("id", "parent", "id AS root_id", "-1 AS depth", "cast(null AS array<long>) AS path", "cast(null AS long) AS size", "true AS on_loop")
+        resolved = loops.selectExpr("id", "parent", "id AS root_id", "-1 AS depth", f"{start} AS path", "cast(null AS long) AS size", "true AS on_loop")
     else:
-        resolved = loops.join(_loop_roots(loops), "id").selectExpr("id", "parent", "root_id", "-1 AS depth", "cast(null AS array<long>) AS path", "cast(null AS long) AS size", "true AS on_loop")
+        resolved = loops.join(_loop_roots(loops), "id").selectExpr("id", "parent", "root_id", "-1 AS depth", f"{start} AS path", "cast(null AS long) AS size", "true AS on_loop")
         resolved = stage(resolved, "loops")
     for k, (rounds, block) in reversed(list(enumerate(peeled.stages))):
         done = _resolve(block, rounds, resolved, paths).withColumn("on_loop", F.lit(False)).select(*columns)
         if k:  # later blocks look these up; the first block holds the leaves, which nobody looks up
             done = stage(done, "resolved")
         resolved = resolved.select(*columns).unionByName(done)
-    return resolved
+    return resolved.select(*[F.when(F.col("depth") >= 0, F.col(c)).alias(c) if c == "path" else c for c in columns], F.when((F.col("depth") < 0) & ~F.col("on_loop"), F.col("path")).alias("hang"))
 
 
-def descendants(tree: DataFrame) -> DataFrame:
+def descendants(tree: DataFrame, below_loops: bool = False) -> DataFrame:
     """(ancestor_id, descendant_id, distance): all descendants of each node of :func:`hierarchy`.
 
     One row for each pair, not one list for each ancestor: the list of a root may
-    hold a third of all rows. Nodes on or below a loop have no rows.
+    hold a third of all rows. Nodes on a loop have no rows. The trees that hang
+    on a loop have theirs with ``below_loops``, else none.
     """
-    up = F.posexplode(F.slice("path", F.lit(1), F.size("path") - 1)).alias("pos", "ancestor_id")
-    return tree.where("depth > 0").select(F.col("id").alias("descendant_id"), "depth", up).select("ancestor_id", "descendant_id", (F.col("depth") - F.col("pos")).cast("int").alias("distance"))
+    path = F.coalesce("path", "hang") if below_loops else F.col("path")
+    rows = tree.select(F.col("id").alias("descendant_id"), path.alias("path")).where(F.size("path") > 1)
+    rows = rows.select("descendant_id", (F.size("path") - 1).alias("depth"), F.posexplode(F.slice("path", F.lit(1), F.size("path") - 1)).alias("pos", "ancestor_id"))
+    return rows.select("ancestor_id", "descendant_id", (F.col("depth") - F.col("pos")).cast("int").alias("distance"))

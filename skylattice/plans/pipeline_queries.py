@@ -27,6 +27,18 @@ def p2_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return descendants(hierarchy(table(spark, sf_dir, "hr_halos"), "halo_id", "pid"))
 
 
+def p2_whole_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p2_hierarchy with the trees below loops: their sizes, and hang, the path from the node that hangs on the loop."""
+    tree = hierarchy(table(spark, sf_dir, "hr_halos"), "halo_id", "pid")
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), "/").alias(c)
+    return tree.select(F.col("id").alias("halo_id"), "root_id", F.col("depth").cast("int").alias("depth"), text("path"), text("hang"), (F.col("size") - 1).alias("n_descendants"), "on_loop")
+
+
+def p2_all_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p2_descendants with the trees below loops."""
+    return descendants(hierarchy(table(spark, sf_dir, "hr_halos"), "halo_id", "pid"), below_loops=True)
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, failing = load_halo_lines(table(spark, sf_dir, "halo_lines"), table(spark, sf_dir, "sim_runs"))
     return failing.select("line_id", "reason")
@@ -66,7 +78,7 @@ def p6_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_counts(points, near_pairs(points, "halo_id", "box_id"), "halo_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_hierarchy, p2_descendants, p3_found, p3_valid, p4_found, p4_files, p6_found, p6_counts)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_hierarchy, p2_descendants, p2_whole_hierarchy, p2_all_descendants, p3_found, p3_valid, p4_found, p4_files, p6_found, p6_counts)}
 
 _TREE = """
 WITH RECURSIVE n AS (

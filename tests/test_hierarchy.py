@@ -49,3 +49,24 @@ def test_repeated_null_and_empty(spark):
     got = {r.id: (r.root_id, r.depth, r.on_loop) for r in hierarchy(df, "halo_id", "pid", paths=False).collect()}
     assert got == {1: (1, 0, False), 2: (1, 1, False), 3: (3, -1, True), 4: (3, -1, False)}
     assert hierarchy(df.limit(0), "halo_id", "pid").count() == 0
+
+
+def test_trees_below_loops_keep_their_descendants(spark, tmp_path):
+    from skylattice.plans import pipeline_queries as q
+
+    rng = random.Random(8)
+    parent = {1: 2, 2: 3, 3: 1, 10: 1, 11: 10, 12: 11, 13: 10, 20: 20, 21: 20, 30: -1, 31: 30} | {100 + k: rng.choice([2, 11, 21, 31, *range(100, 100 + max(k, 1))]) if k else 2 for k in range(40)}
+    on_loop = {1, 2, 3, 20}
+    below = {}
+    for node in parent:
+        at, steps = parent[node], 1
+        while node not in on_loop and at in parent and at not in on_loop:
+            below[(at, node)] = steps
+            at, steps = parent[at], steps + 1
+    spark.createDataFrame(list(parent.items()), "halo_id long, pid long").write.parquet(f"{tmp_path}/hr_halos.parquet")
+    rows = q.p2_all_descendants(spark, str(tmp_path)).collect()
+    assert len(rows) == len(below) and {(r.ancestor_id, r.descendant_id): r.distance for r in rows} == below
+    got = {r.halo_id: r for r in q.p2_whole_hierarchy(spark, str(tmp_path)).collect()}
+    assert {k: r.n_descendants for k, r in got.items()} == {k: None if k in on_loop else sum(a == k for a, _ in below) for k in parent}
+    assert got[12].hang == "10/11/12" and got[12].path is None and got[12].root_id == 1 and got[1].hang is None and got[31].hang is None and got[31].path == "30/31"
+    assert {k for k, r in got.items() if r.on_loop} == on_loop
