@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from skylattice.functions import cosmology as C
 from skylattice.operators import environment, fields, filters, grid, matching, ranks, regions, stats, tails
 from skylattice.plans.views import DESCRIBED_SQL, HIGH_SQL, LOW_SQL, box_sides, described, high, low
+from skylattice.runtime import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -19,6 +21,8 @@ N = 8
 LOG_EDGES = C.linear_grid(9.0, 15.0, 13)
 MASS_EDGES = [10**e for e in LOG_EDGES]
 SCALES = [0.25, 0.5, 1.0, 2.0, 4.0]
+#: the Gaussian scales of whole runs: 20 from 1000 / 4096 to 4 at equal ratios, without the first
+RUN_SCALES = [float(1000 / 4096 * (4 * 4096 / 1000) ** (k / 19)) for k in range(1, 20)]
 _EDGES_SQL = "[" + ", ".join(f"{e!r}::DOUBLE" for e in MASS_EDGES) + "]"
 _LOG_EDGES_SQL = "[" + ", ".join(f"{e!r}::DOUBLE" for e in LOG_EDGES) + "]"
 
@@ -41,6 +45,27 @@ def query(sql: str | None = None):
     return register
 
 
+def grid_query(sql: str | None = None, **of_run):
+    """Register f(halos, n) with N cells along a side, beside its SQL, and as name_run_grid with the n_grid of each run.
+
+    The latter has no SQL, which would never end; ``of_run`` are its further arguments.
+    """
+
+    def register(f):
+        def whole(spark, sf_dir):
+            runs = table(spark, sf_dir, "sim_runs").select("run_id", "n_grid")
+            halos = high(spark, sf_dir).join(runs, "run_id")
+            sizes = sorted(row.n_grid for row in runs.select("n_grid").distinct().where("n_grid > 0").collect())  # a few, at every scale
+            return reduce(DataFrame.unionByName, [f(halos.where(F.col("n_grid") == n), n, **of_run) for n in sizes])
+
+        QUERIES[f"{f.__name__}_run_grid"] = whole
+        small = lambda spark, sf_dir: f(high(spark, sf_dir), N)
+        small.__name__ = f.__name__
+        return query(sql)(small)
+
+    return register
+
+
 def r(column, digits: int = 6):
     return F.round(column, digits)
 
@@ -122,48 +147,46 @@ _CORNERS = f"""
 """
 
 
-def _delta(halos: DataFrame) -> DataFrame:
-    return grid.full_grid(grid.overdensity(grid.cloud_in_cell(halos, N), N), N, -1.0)
+def _delta(halos: DataFrame, n: int) -> DataFrame:
+    return grid.full_grid(grid.overdensity(grid.cloud_in_cell(halos, n), n), n, -1.0)
 
 
-@query(H + _CORNERS + "SELECT space, i, j, k, round(v / 1e10, 5) + 0.0 AS mass FROM dep WHERE v IS NOT NULL")
-def a1_cloud_in_cell(spark, sf_dir):
-    return grid.cloud_in_cell(high(spark, sf_dir), N, "m200b").select("space", "i", "j", "k", (r(F.col("v") / 1e10, 5) + 0.0).alias("mass"))
+@grid_query(H + _CORNERS + "SELECT space, i, j, k, round(v / 1e10, 5) + 0.0 AS mass FROM dep WHERE v IS NOT NULL")
+def a1_cloud_in_cell(halos, n):
+    return grid.cloud_in_cell(halos, n, "m200b").select("space", "i", "j", "k", (r(F.col("v") / 1e10, 5) + 0.0).alias("mass"))
 
 
-@query(H + _CORNERS + f"SELECT space, i, j, k, round(num.v / power(side / {N}, 3), 8) AS density FROM num JOIN sides USING (space)")
-def a3_density(spark, sf_dir):
-    halos = high(spark, sf_dir)
-    return grid.density(grid.cloud_in_cell(halos, N), box_sides(halos), N).select("space", "i", "j", "k", r("v", 8).alias("density"))
+@grid_query(H + _CORNERS + f"SELECT space, i, j, k, round(num.v / power(side / {N}, 3), 8) AS density FROM num JOIN sides USING (space)")
+def a3_density(halos, n):
+    return grid.density(grid.cloud_in_cell(halos, n), box_sides(halos), n).select("space", "i", "j", "k", r("v", 8).alias("density"))
 
 
-@query(H + _CORNERS + "SELECT space, i, j, k, round(v, 6) AS delta FROM filled")
-def a4_overdensity(spark, sf_dir):
-    return _delta(high(spark, sf_dir)).select("space", "i", "j", "k", r("v").alias("delta"))
+@grid_query(H + _CORNERS + "SELECT space, i, j, k, round(v, 6) AS delta FROM filled")
+def a4_overdensity(halos, n):
+    return _delta(halos, n).select("space", "i", "j", "k", r("v").alias("delta"))
 
 
-@query(H + _CORNERS + f", e AS (SELECT box AS space, count(*) / power(max(side), 3) AS expected FROM g GROUP BY 1) SELECT space, i, j, k, round(num.v / power(side / {N}, 3) / expected - 1, 6) AS delta FROM num JOIN sides USING (space) JOIN e USING (space)")
-def a5_overdensity_expected(spark, sf_dir):
-    halos = grid.placed(high(spark, sf_dir))
+@grid_query(H + _CORNERS + f", e AS (SELECT box AS space, count(*) / power(max(side), 3) AS expected FROM g GROUP BY 1) SELECT space, i, j, k, round(num.v / power(side / {N}, 3) / expected - 1, 6) AS delta FROM num JOIN sides USING (space) JOIN e USING (space)")
+def a5_overdensity_expected(halos, n):
+    halos = grid.placed(halos)
     sides = box_sides(halos)
     expected = halos.groupBy(F.col("box").alias("space")).agg((F.count("*") / F.pow(F.max("side"), F.lit(3))).alias("expected"))
-    return grid.overdensity_expected(grid.density(grid.cloud_in_cell(halos, N), sides, N), expected).select("space", "i", "j", "k", r("v").alias("delta"))
+    return grid.overdensity_expected(grid.density(grid.cloud_in_cell(halos, n), sides, n), expected).select("space", "i", "j", "k", r("v").alias("delta"))
 
 
-@query(H + f"SELECT box, least(floor(x / (side / {N})), {N - 1})::INTEGER AS i, least(floor(y / (side / {N})), {N - 1})::INTEGER AS j, least(floor(z / (side / {N})), {N - 1})::INTEGER AS k, count(*) AS n FROM hr WHERE x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL GROUP BY ALL")
-def a6_nearest_cell(spark, sf_dir):
-    return grid.nearest_cells(grid.placed(high(spark, sf_dir)), N).groupBy("box", "i", "j", "k").agg(F.count("*").alias("n"))
+@grid_query(H + f"SELECT box, least(floor(x / (side / {N})), {N - 1})::INTEGER AS i, least(floor(y / (side / {N})), {N - 1})::INTEGER AS j, least(floor(z / (side / {N})), {N - 1})::INTEGER AS k, count(*) AS n FROM hr WHERE x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL GROUP BY ALL")
+def a6_nearest_cell(halos, n):
+    return grid.nearest_cells(grid.placed(halos), n).groupBy("box", "i", "j", "k").agg(F.count("*").alias("n"))
 
 
-@query(H + _CORNERS + f", md AS (SELECT space, i, j, k, v / (sum(v) OVER (PARTITION BY space) / {N**3}) - 1 AS v FROM dep WHERE v IS NOT NULL) SELECT space, i, j, k, round(v, 6) AS delta FROM md")
-def a7_mass_overdensity(spark, sf_dir):
-    return grid.overdensity(grid.cloud_in_cell(high(spark, sf_dir), N, "m200b"), N).select("space", "i", "j", "k", r("v").alias("delta"))
+@grid_query(H + _CORNERS + f", md AS (SELECT space, i, j, k, v / (sum(v) OVER (PARTITION BY space) / {N**3}) - 1 AS v FROM dep WHERE v IS NOT NULL) SELECT space, i, j, k, round(v, 6) AS delta FROM md")
+def a7_mass_overdensity(halos, n):
+    return grid.overdensity(grid.cloud_in_cell(halos, n, "m200b"), n).select("space", "i", "j", "k", r("v").alias("delta"))
 
 
-@query(H + _CORNERS + "SELECT id, round(sum(w * f.v), 6) AS delta FROM c JOIN filled f ON f.space = c.box AND f.i = c.i AND f.j = c.j AND f.k = c.k GROUP BY 1")
-def j10_trilinear(spark, sf_dir):
-    halos = high(spark, sf_dir)
-    return grid.trilinear(halos, _delta(halos), N).select("id", r("v").alias("delta"))
+@grid_query(H + _CORNERS + "SELECT id, round(sum(w * f.v), 6) AS delta FROM c JOIN filled f ON f.space = c.box AND f.i = c.i AND f.j = c.j AND f.k = c.k GROUP BY 1")
+def j10_trilinear(halos, n):
+    return grid.trilinear(halos, grid.overdensity(grid.cloud_in_cell(halos, n), n), n, empty=-1.0).select("id", r("v").alias("delta"))
 
 
 # joins
@@ -173,8 +196,6 @@ _DIST = "sqrt(" + " + ".join(f"(a.{c} - b.{c} - a.side * round((a.{c} - b.{c}) /
 
 @query(D + f", {HIGH_SQL}, f AS (SELECT cell_x, cell_y, cell_z, tidal_anisotropy, overdensity FROM ds QUALIFY row_number() OVER (PARTITION BY cell_x, cell_y, cell_z ORDER BY batch_day, descriptor_halo_id) = 1), hc AS (SELECT id, floor(x / (side / n_grid))::INTEGER % n_grid AS cell_x, floor(y / (side / n_grid))::INTEGER % n_grid AS cell_y, floor(z / (side / n_grid))::INTEGER % n_grid AS cell_z FROM hr JOIN sim_runs USING (run_id)) SELECT id, tidal_anisotropy, overdensity FROM hc LEFT JOIN f USING (cell_x, cell_y, cell_z)")
 def j1_descriptors_by_cell(spark, sf_dir):
-    from skylattice.runtime import table
-
     sizes = table(spark, sf_dir, "sim_runs").select("run_id", "n_grid")
     cell = lambda a: F.pmod(F.floor(F.col(a) / (F.col("side") / F.col("n_grid"))), F.col("n_grid")).cast("int").alias(f"cell_{a}")
     halos = high(spark, sf_dir).join(sizes, "run_id").select("id", *[cell(a) for a in "xyz"])
@@ -429,16 +450,14 @@ def _back(value: str) -> str:
     return f"sum({value} * (re * cos(2 * pi() * (c.i * f2.i + c.j * f2.j + c.k * f2.k) / {N}) - im * sin(2 * pi() * (c.i * f2.i + c.j * f2.j + c.k * f2.k) / {N}))) / {N**3}"
 
 
-@query(H + _CORNERS + _DFT + f"SELECT c.space, c.i, c.j, c.k, round({_back('exp(-k2 * 50)')}, 6) + 0.0 AS delta FROM cube c JOIN f2 USING (space) GROUP BY ALL")
-def m8_smoothed(spark, sf_dir):
-    halos = high(spark, sf_dir)
-    return fields.smoothed(_delta(halos), box_sides(halos), N, 10.0).select("space", "i", "j", "k", (r("v") + 0.0).alias("delta"))
+@grid_query(H + _CORNERS + _DFT + f"SELECT c.space, c.i, c.j, c.k, round({_back('exp(-k2 * 50)')}, 6) + 0.0 AS delta FROM cube c JOIN f2 USING (space) GROUP BY ALL")
+def m8_smoothed(halos, n):
+    return fields.smoothed(_delta(halos, n), box_sides(halos), n, 10.0).select("space", "i", "j", "k", (r("v") + 0.0).alias("delta"))
 
 
-@query(H + _CORNERS + _DFT + ", t AS (SELECT c.space, c.i, c.j, c.k, " + ", ".join(f"({_back(f'(CASE WHEN k2 > 0 THEN k{a} * k{b} / k2 ELSE 0 END) * exp(-k2 * 50)')})::DOUBLE AS t{n}" for a, b, n in (("x", "x", "00"), ("x", "y", "01"), ("x", "z", "02"), ("y", "y", "11"), ("y", "z", "12"), ("z", "z", "22"))) + " FROM cube c JOIN f2 USING (space) GROUP BY ALL) SELECT space, 10.0::DOUBLE AS scale, i, j, k, " + ", ".join(f"round(t{n}, 4) + 0.0 AS t{n}" for n in ("00", "01", "02", "11", "12", "22")) + " FROM t")
-def m9_tidal_tensor(spark, sf_dir):
-    halos = high(spark, sf_dir)
-    got = fields.tidal_tensors(_delta(halos), box_sides(halos), N, [10.0], kind="double")
+@grid_query(H + _CORNERS + _DFT + ", t AS (SELECT c.space, c.i, c.j, c.k, " + ", ".join(f"({_back(f'(CASE WHEN k2 > 0 THEN k{a} * k{b} / k2 ELSE 0 END) * exp(-k2 * 50)')})::DOUBLE AS t{n}" for a, b, n in (("x", "x", "00"), ("x", "y", "01"), ("x", "z", "02"), ("y", "y", "11"), ("y", "z", "12"), ("z", "z", "22"))) + " FROM cube c JOIN f2 USING (space) GROUP BY ALL) SELECT space, 10.0::DOUBLE AS scale, i, j, k, " + ", ".join(f"round(t{n}, 4) + 0.0 AS t{n}" for n in ("00", "01", "02", "11", "12", "22")) + " FROM t", scales=RUN_SCALES)
+def m9_tidal_tensor(halos, n, scales=(10.0,)):
+    got = fields.tidal_tensors(_delta(halos, n), box_sides(halos), n, list(scales), kind="double")
     return got.select("space", "scale", "i", "j", "k", *[(r(F.col(c).cast("double"), 4) + 0.0).alias(c) for c in environment.COMPONENTS])
 
 
@@ -454,17 +473,14 @@ def m11_eigenvalues(spark, sf_dir):
     return rows.select("id", r("l1").alias("l1"), r("l2").alias("l2"), r("l3").alias("l3"), r(environment.anisotropy(F.col("l1"), F.col("l2"), F.col("l3"))[0]).alias("alpha"))
 
 
-@query()
-def m12_tidal_descriptors(spark, sf_dir):
-    halos = high(spark, sf_dir)
-    scales = [0.125, *SCALES]
-    tensors = fields.tidal_tensors(_delta(halos), box_sides(halos), N, scales)
-    placed = grid.nearest_cells(grid.placed(halos), N).withColumns({"space": F.col("box"), "rg": C.gaussian_radius(C.r200b(F.col("m200b"), F.col("om"), F.col("h")))})
-    got = environment.descriptors(placed, tensors, scales)
+@grid_query(scales=RUN_SCALES)
+def m12_tidal_descriptors(halos, n, scales=(0.125, *SCALES)):
+    tensors = fields.tidal_tensors(_delta(halos, n), box_sides(halos), n, list(scales))
+    placed = grid.nearest_cells(grid.placed(halos), n).withColumns({"space": F.col("box"), "rg": C.gaussian_radius(C.r200b(F.col("m200b"), F.col("om"), F.col("h")))})
+    got = environment.descriptors(placed, tensors, list(scales))
     return got.select("id", r("tidal_anisotropy", 4).alias("tidal_anisotropy"), r("overdensity", 4).alias("overdensity"))
 
 
-@query(H + _CORNERS + _DFT + f", b AS (SELECT c.space, c.i, c.j, c.k, sum(CASE WHEN k2 > 0 AND sqrt(k2) <= 0.2 THEN 1 / greatest((re * re + im * im) / {N**3}.0 / {N**3}.0 * c.side ** 3, 1e-30) ELSE 0 END * (re * cos(2 * pi() * (c.i * f2.i + c.j * f2.j + c.k * f2.k) / {N}) - im * sin(2 * pi() * (c.i * f2.i + c.j * f2.j + c.k * f2.k) / {N}))) / {N**3} AS v FROM cube c JOIN f2 USING (space) GROUP BY ALL) SELECT c.id, round(sum(w * b.v), 4) + 0.0 AS bias FROM c JOIN b ON b.space = c.box AND b.i = c.i AND b.j = c.j AND b.k = c.k GROUP BY 1")
-def m13_halo_bias(spark, sf_dir):
-    halos = high(spark, sf_dir)
-    return fields.halo_bias(halos, _delta(halos), box_sides(halos), N, 0.2).select("id", (r("v", 4) + 0.0).alias("bias"))
+@grid_query(H + _CORNERS + _DFT + f", b AS (SELECT c.space, c.i, c.j, c.k, sum(CASE WHEN k2 > 0 AND sqrt(k2) <= 0.2 THEN 1 / greatest((re * re + im * im) / {N**3}.0 / {N**3}.0 * c.side ** 3, 1e-30) ELSE 0 END * (re * cos(2 * pi() * (c.i * f2.i + c.j * f2.j + c.k * f2.k) / {N}) - im * sin(2 * pi() * (c.i * f2.i + c.j * f2.j + c.k * f2.k) / {N}))) / {N**3} AS v FROM cube c JOIN f2 USING (space) GROUP BY ALL) SELECT c.id, round(sum(w * b.v), 4) + 0.0 AS bias FROM c JOIN b ON b.space = c.box AND b.i = c.i AND b.j = c.j AND b.k = c.k GROUP BY 1")
+def m13_halo_bias(halos, n):
+    return fields.halo_bias(halos, _delta(halos, n), box_sides(halos), n, 0.2).select("id", (r("v", 4) + 0.0).alias("bias"))
