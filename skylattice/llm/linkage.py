@@ -19,6 +19,7 @@ logistic calibration against decoys, halos moved to another place of their box.
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -33,7 +34,7 @@ K1, B = 1.2, 0.75
 #: cell sides in units of length, mass intervals in dex, spin intervals in natural logarithms
 CELLS, MASSES, SPINS = (1.0, 2.0, 4.0), (0.1, 0.2, 0.4), (0.2, 0.4, 0.8)
 SHIFTS = (0.0, 0.5)
-#: halos whose decoys calibrate the confidence, at most
+#: halos whose decoys calibrate the confidence, about, in whole boxes
 CALIBRATION_ROWS = 20_000
 
 
@@ -172,15 +173,18 @@ def calibration(true_gaps: np.ndarray, decoy_gaps: np.ndarray, steps: int = 50)
     return float(beta[0]), float(beta[1])
 
 
-def _gaps(pairs: DataFrame, rows: int) -> np.ndarray:
-    return np.array([r.gap for r in pairs.select("gap").limit(rows).collect()], dtype=float)
+def _gaps(pairs: DataFrame, share: float) -> np.ndarray:
+    """The gaps of a share of the pairs, the same asking halos each time."""
+    kept = F.pmod(F.xxhash64("lr", F.lit(13)), F.lit(1_000_000)) < math.ceil(1e6 * share)
+    return np.array([r.gap for r in pairs.where(kept).select("gap").collect()], dtype=float)
 
 
-def match(documents: DataFrame, asking: DataFrame, rounds: int = 4, least: float = 0.5, calibration_rows: int = CALIBRATION_ROWS, rank: str = "score") -> DataFrame:
+def match(documents: DataFrame, asking: DataFrame, rounds: int | None = 4, least: float = 0.5, calibration_rows: int = CALIBRATION_ROWS, rank: str = "score") -> DataFrame:
     """(hr, lr, d, bm25, score, gap, confidence): the matches of two :func:`prepared` catalogues.
 
     Each halo is in at most one match. After the pairs that are best for both,
-    halos left over get their best among those left, up to ``rounds`` times. Ties
+    halos left over get their best among those left, up to ``rounds`` times, or
+    with None until no pair with a score above 0 is left. Ties
     in the score go to the nearer pair, then to the smaller id. Matches have at
     least confidence ``least``. Empty catalogues give an empty result.
 
@@ -201,19 +205,23 @@ def match(documents: DataFrame, asking: DataFrame, rounds: int = 4, least: float
     other = [max(math.sqrt(2) * float(spread[c]), 0.1) if spread[c] is not None and spread[c] == spread[c] else 1.0 for c in ("lm", "ls")]
     score = exact_score(widths, *other)
     scored = stage(pairs.withColumn("score", score), "scored")
-    # decoys: a bounded sample of the asking halos, moved by about half a box along each axis
-    total = max(1, asking.count())
-    chosen = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1_000_000)) < math.ceil(1e6 * min(1.0, calibration_rows / total))
-    moved = asking.where(chosen).withColumns({a: F.pmod(F.col(a) + F.col("side") * f, "side") for a, f in (("x", 0.5), ("y", 0.43), ("z", 0.57))})
-    decoys = _gaps(mutual(candidates(index, moved).withColumn("score", score), rank, ties), calibration_rows)
+    # decoys: the halos of a sample of whole boxes, so that all rivals compete, moved by about half a box along each axis
+    boxes = asking.groupBy("box").agg(F.count("*").alias("n"))
+    total = boxes.agg(F.count("*").alias("boxes"), F.sum("n").alias("halos")).first()
+    n_boxes = max(1, math.ceil(total.boxes * min(1.0, calibration_rows / max(1, total.halos or 0))))
+    sampled = stage(boxes.orderBy(F.xxhash64("box", F.lit(11)), "box").limit(n_boxes), "sampled")
+    chosen = asking.join(sampled.select("box"), "box", "left_semi")
+    share = min(1.0, calibration_rows / max(1, sampled.agg(F.sum("n").alias("n")).first().n or 0))
+    moved = chosen.withColumns({a: F.pmod(F.col(a) + F.col("side") * f, "side") for a, f in (("x", 0.5), ("y", 0.43), ("z", 0.57))})
+    decoys = _gaps(mutual(candidates(index, moved).withColumn("score", score), rank, ties), share)
     left, found = scored, []
-    for k in range(rounds):
+    for k in itertools.count() if rounds is None else range(rounds):
         best = stage(mutual(left, rank, ties).where(fits), "best")
         if k == 0:
-            real = _gaps(best.join(asking.where(chosen).select(F.col("id").alias("lr")), "lr", "left_semi"), calibration_rows)
+            real = _gaps(best.join(chosen.select(F.col("id").alias("lr")), "lr", "left_semi"), share)
             slope, shift = calibration(real, decoys)
         found.append(best)
-        if k + 1 < rounds:
+        if rounds is None or k + 1 < rounds:
             left = left.join(best.select("lr"), "lr", "left_anti").join(best.select("hr"), "hr", "left_anti")
             left = stage(left.where("score > 0"), "left")
             if left.isEmpty():

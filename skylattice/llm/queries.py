@@ -59,7 +59,9 @@ def p1_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = table(spark, sf_dir, "sim_runs")
-    return linkage.match(linkage.prepared(table(spark, sf_dir, "hr_halos"), "halo_id", runs), linkage.prepared(table(spark, sf_dir, "lr_halos"), "lr_halo_id", runs))
+    high, low = linkage.prepared(table(spark, sf_dir, "hr_halos"), "halo_id", runs), linkage.prepared(table(spark, sf_dir, "lr_halos"), "lr_halo_id", runs)
+    # the score decides; doubtful pairs keep their low confidence
+    return linkage.match(high, low, rounds=None, least=0.0)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

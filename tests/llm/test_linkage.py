@@ -60,3 +60,22 @@ def test_bm25_can_decide(spark):
     assert len({(r.hr, r.lr) for r in rows} & truth) >= 0.8 * len(truth)
     for r in rows:
         assert r.score > 0 and abs(r.bm25 - best["hr", r.hr]) < 1e-9 and abs(r.bm25 - best["lr", r.lr]) < 1e-9 and 0 <= r.gap <= r.bm25
+
+
+def test_doubtful_pairs_stay_and_rounds_go_to_the_end(spark, tmp_path):
+    from skylattice.llm import queries
+
+    # a row of halos, high and low by turns, each nearer to the next than to the last: one pair a round, from the end
+    m, x, at = 7, 5.0, []
+    for k in range(2 * m):
+        at.append(x)
+        x += 2.0 - 0.05 * k
+    schema = "{} long, run_id int, box_id int, halo_x double, halo_y double, halo_z double, m200b double, spin double"
+    row = lambda id_, x: (id_, 1, 1, x, 5.0, 5.0, None, None)
+    spark.createDataFrame([row(k, at[2 * k]) for k in range(m)], schema.format("halo_id")).write.parquet(f"{tmp_path}/hr_halos.parquet")
+    spark.createDataFrame([row(100 + k, at[2 * k + 1]) for k in range(m)], schema.format("lr_halo_id")).write.parquet(f"{tmp_path}/lr_halos.parquet")
+    runs = "run_id int, boxsize_mpc_h double, r_match_mpc_h double, max_mass_distance double"
+    spark.createDataFrame([(1, 60.0, 5.0, 0.95)], runs).write.parquet(f"{tmp_path}/sim_runs.parquet")
+    rows = queries.p5_confidence(spark, str(tmp_path)).collect()
+    assert {(r.hr_halo_id, r.lr_halo_id) for r in rows} == {(k, 100 + k) for k in range(m)}
+    assert min(r.confidence for r in rows) < 0.5
