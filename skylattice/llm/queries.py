@@ -57,19 +57,20 @@ def p1_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantiles.percentiles(runs.unionByName(overall), ["run_id", "field_name"], [1.0, 5.0, 25.0, 50.0, 75.0, 95.0, 99.0, 99.9])
 
 
-def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _matches(spark: SparkSession, sf_dir: str, least: float) -> DataFrame:
     runs = table(spark, sf_dir, "sim_runs")
     high, low = linkage.prepared(table(spark, sf_dir, "hr_halos"), "halo_id", runs), linkage.prepared(table(spark, sf_dir, "lr_halos"), "lr_halo_id", runs)
-    # the score decides; doubtful pairs keep their low confidence
-    return linkage.match(high, low, rounds=None, least=0.0)
+    return linkage.match(high, low, least)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _matches(spark, sf_dir).select(F.col("hr").alias("hr_halo_id"), F.col("lr").alias("lr_halo_id"))
+    """The matches that are likelier true than not."""
+    return _matches(spark, sf_dir, 0.5).select(F.col("hr").alias("hr_halo_id"), F.col("lr").alias("lr_halo_id"))
 
 
 def p5_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _matches(spark, sf_dir).select(F.col("hr").alias("hr_halo_id"), F.col("lr").alias("lr_halo_id"), *[F.round(c, 6).alias(c) for c in ("d", "bm25", "score", "gap", "confidence")])
+    """All matches, doubtful ones with their low confidence."""
+    return _matches(spark, sf_dir, 0.0).select(F.col("hr").alias("hr_halo_id"), F.col("lr").alias("lr_halo_id"), *[F.round(c, 6).alias(c) for c in ("d", "bm25", "gap", "confidence")])
 
 
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
