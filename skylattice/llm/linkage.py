@@ -125,7 +125,7 @@ def lists(index: DataFrame) -> DataFrame:
 
 def _weight(apart: Column, attribute: str) -> Column:
     reach = F.col("r_match") * REACH[attribute] if attribute in PLACE else F.lit(REACH[attribute])
-    return F.greatest(F.lit(0.0), 1 - F.pow(apart / reach, F.lit(2)))
+    return F.greatest(F.lit(0.0), 1 - (apart / reach) * (apart / reach))
 
 
 def _round(apart: Column) -> Column:
@@ -154,7 +154,7 @@ def _asks(asking: DataFrame, far: bool) -> DataFrame:
         return rows.drop(*[f"_{a}" for a in PLACE])
     gaps = [F.col(f"_{a}.gap").alias(f"gap_{a}") for a in PLACE]
     # within the radius; a cell met by several images is kept at the nearest one along each axis
-    within = rows.where(sum((F.pow(F.col(f"_{a}.gap"), F.lit(2)) for a in PLACE), F.lit(0.0)) < F.pow("r_match", F.lit(2)))
+    within = rows.where(sum((F.col(f"_{a}.gap") * F.col(f"_{a}.gap") for a in PLACE), F.lit(0.0)) < F.col("r_match") * F.col("r_match"))
     return within.select(*[c for c in rows.columns if c not in ("_x", "_y", "_z")], *gaps)
 
 
@@ -163,9 +163,10 @@ def _scored(asks: DataFrame, index: DataFrame) -> DataFrame:
     own = [*PLACE, *OTHER, "mass"]
     held = index.select("box", "cell", F.col("id").alias("hr"), *[F.col(c).alias(f"h_{c}") for c in own], *[f"i_{a}" for a in REACH], "side", "r_match", "max_gap")
     met = held.join(asks.select("box", "cell", F.col("id").alias("lr"), *[F.col(c).alias(f"l_{c}") for c in own]), ["box", "cell"])
-    d = F.sqrt(sum((F.pow(_round(F.col(f"l_{a}") - F.col(f"h_{a}")), F.lit(2)) for a in PLACE), F.lit(0.0)))
+    apart = [_round(F.col(f"l_{a}") - F.col(f"h_{a}")) for a in PLACE]
+    square = apart[0] * apart[0] + apart[1] * apart[1] + apart[2] * apart[2]
     fits = F.coalesce(F.abs(F.col("l_mass") - F.col("h_mass")) / F.col("h_mass") < F.col("max_gap"), F.lit(True))
-    met = met.withColumn("d", d).where((F.col("d") < F.col("r_match")) & fits)
+    met = met.where((square < F.col("r_match") * F.col("r_match")) & fits).withColumn("d", F.sqrt(square))
     parts = [F.col(f"i_{a}") * _weight(_round(F.col(f"l_{a}") - _middle(a, F.col(f"h_{a}"))), a) for a in PLACE]
     parts += [F.coalesce(F.col(f"i_{a}") * _weight(F.col(f"l_{a}") - _middle(a, F.col(f"h_{a}")), a), F.lit(0.0)) for a in OTHER]
     return met.select("hr", "lr", "d", sum(parts, F.lit(0.0)).alias("bm25")).where("bm25 > 0")

@@ -113,7 +113,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     shares = textquality.label_shares(table(spark, sf_dir, "documents"), "doc_id", "text", _common_words(spark, sf_dir))
-    return shares.select("doc_id", "n_lines", *[F.round(f"{s}_share", 6).alias(f"{s}_share") for s in textquality.STATES])
+    return shares.select("doc_id", "n_lines", *[F.round(f"{s}_share", 6).alias(f"{s}_share") for s in textquality.LABELS])
 
 
 def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,264 +1,271 @@
 """Statistics of the text of documents, and a hidden Markov model that tells prose from other lines.
 
-A text is cut into lines, long lines further into sentences. Each line gives a
-few categorical statistics. The states prose, list, table and junk emit them
-independently; the tables of the model are counted over all documents, from
-rough labels by rule, and the most likely labels of each document's lines are
-then decoded. The share of characters under each label describes the document.
+A text is cut into lines, all by one rule, and each line gives a few categorical
+statistics, counted by built-in functions. The hidden states emit them
+independently. The tables of the model are learned from all documents by
+expectation and maximisation: every round sums the expected counts in Spark.
+The start knows two figures only, the share of common words and whether the
+block has sentence ends, one state for each level of both. The states are then
+named prose, list, table or junk by the figures that they have come to emit, and
+the expected characters in each describe the document.
 """
 
 from __future__ import annotations
 
-import re
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skylattice.runtime import stage
 
-STATES = ("prose", "list", "table", "junk")
+LABELS = ("prose", "list", "table", "junk")
 #: a document is prose when more than this share of its characters is
 PROSE_SHARE = 0.2
+#: rounds of expectation and maximisation, and the count added to every entry of a table
+ROUNDS, ADDED = 8, 10.0
+#: a line counts in the tables by its words, up to so many
+MOST_WORDS = 14
+#: words of a text of one line that is a short answer, no case for the model
+SHORT_WORDS = 7
+#: lines of a text that make one chain; longer texts are several, and a task holds so many lines at a time
+CHAIN, HELD = 1000, 200_000
+
+# a line ends at a line break, after 60 characters at a pause, or after 120 at a blank
+_LINE = r"[^\r\n]{60,120}?[.!?;:,](?=\s)|[^\r\n]{120}\S*|[^\r\n]+"
+_BLOCK = r"(?:\r\n|\n|\r)[ \t]*(?=\r\n|\n|\r)"
+_URL = r"\w+://\S+|\bwww\.\S+"
+_EDGE = r"[^\s\p{L}\p{N}_]*"
+_WORD = rf"(?<!\S){_EDGE}(\p{{L}}(?:['’-]?\p{{L}})+){_EDGE}(?!\S)"
+_LETTER = rf"(?<!\S){_EDGE}\p{{L}}{_EDGE}(?!\S)"
+_UNSPEAKABLE = r"\A(?:[^aeiouyà-æè-ïò-öø-ýœ]+|.{25,})\z"
+_PAUSE = r"[.,;:!?…](?=\s|$|[\"')»”])"
+_SENTENCE_END = r"\p{L}[\"')»”]?[.!?…](?=\s|$|[\"')»”])"
+_SEPARATOR = r"[|\t;=,/]|\s{3,}"
+_MARKER = r"\A\s*(?:[-*+•–—·>»→o]\s+|\[[ xX]?\]\s*|#?\d{1,4}[.):]?\s|\(\w{1,3}\)\s|[a-zA-Z][.)]\s|#\w)"
+_OPENS = r"\A\s*[\"'¿¡«„“(*_]*\p{Lu}"
+_CLOSES = r"\p{L}[\"'»”)]*[.!?…][\"'»”)*_]*\s*\z"
+
+#: the statistics of a line and the number of their levels, in the order in which a code holds them
+LEVELS = {"common and words": 25, "other tokens": 5, "marker and separators": 6, "pauses": 5, "unspeakable": 3, "repeated": 3, "single letters": 3, "opens and closes": 4, "sentence ends": 3}
+# the middles of the five levels of the share of common words, by which states are named
+_COMMON = np.array([0.0, 0.06, 0.17, 0.28, 0.45])
+_OTHER = np.array([0.0, 0.07, 0.25, 0.5, 0.85])
+_STATES = 10
+
+
+def _level(value: Column, *bounds: float) -> Column:
+    """How many of the rising bounds the value reaches."""
+    return sum(((value >= b).cast("int") for b in bounds), F.lit(0))
+
+
+def _ratio(a: Column, b: Column) -> Column:
+    return a / F.greatest(b, F.lit(1))
+
+
+def _code(s: Column) -> Column:
+    """The levels of all statistics of a line in one number."""
+    n = F.greatest(s["tokens"] - s["letters"], F.lit(0))
+    words, some = s["words"], s["words"] > 0
+    many = F.when(words > 3, 1 - s["distinct"] / words).otherwise(0.0)
+    levels = [
+        5 * _level(_ratio(s["common"], words), 0.001, 0.12, 0.22, 0.35) + _level(words, 1, 4, 7, 12),
+        _level(F.when(n > 0, 1 - words / n).otherwise(1.0), 0.001, 0.15, 0.35, 0.65),
+        3 * s["marker"].cast("int") + _level(_ratio(s["separators"], n), 0.1, 0.34),
+        _level(_ratio(s["pauses"], words), 0.001, 0.1, 0.25, 0.5),
+        F.when(some, _level(_ratio(s["odd"], words), 0.05, 0.3)).otherwise(0),
+        _level(many, 0.15, 0.45),
+        _level(_ratio(s["letters"], s["tokens"]), 0.3, 0.6),
+        2 * s["opens"].cast("int") + s["closes"].cast("int"),
+        _level(s["ends"] / s["lines"], 0.001, 0.3),
+    ]
+    code = F.lit(0)
+    for level, size in zip(levels, LEVELS.values(), strict=True):
+        code = code * size + level
+    return code.cast("int")
 
-LONG_LINE = 160
-_CUT = re.compile(r"(?<=[.!?;:,])\s+|(?<=</tr>)")
-_URL = re.compile(r"\w+://\S+|\bwww\.\S+")
-_MARKER = re.compile(r"^\s*(?:[-*+•–—·>»→o]\s+|\[[ xX]?\]\s*|#?\d{1,4}[.):]?\s|\(\w{1,3}\)\s|[a-zA-Z][.)]\s|#\w)")
-_PAUSE = re.compile(r"[.,;:!?…](?=\s|$|[\"')»”])")
-_CELLS = re.compile(r"[|\t;,=]|\s{3,}|</t[dhr]>")
-_WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*[.,;:!?…)\"'»“”]*")
-_CELL_VALUE = re.compile(r"[-–]|n/a|[+-]?\d[\d.,]*%?|0x[0-9a-f]+|[0-9a-f]{2,8}", re.I)
-_CAMEL = re.compile(r"[a-zß-ÿ][A-Z]|[^\W\d_]\d|\d[^\W\d_]")
-_VOWEL = re.compile(r"[aeiouyà-æè-ïò-öø-ýœ]", re.I)
-_OPENING = "([\"'¿¡«„“‘*_`"
-# fixed values: words that occur in clauses rather than in bare noun phrases, of the four languages
-CLAUSE_WORDS = frozenset(
-    "is was are were be been it i we you they he she that this which who what when if not do does did has had have will would can could should may "
-    "est sont c'est je j'ai on il elle nous vous ils que qu'on qui ne n'est pas si quand mais ça "
-    "ist war sind ich wir man er es sie nicht sich wenn ob dass kann hat habe haben wird nur noch schon aber "
-    "es hay he ha está se yo lo que no si cuando pero muy".split()
-)
-# the number of levels of each statistic of a line: common words and number of words, other tokens, shape,
-# punctuation and clause words, odd tokens, repetition
-LEVELS = (25, 5, 4, 12, 3, 3)
-
-
-def lines_of(text: str) -> list[str]:
-    """The non-blank lines of a text; a long line is cut after punctuation that ends a clause."""
-    found = []
-    for line in re.split(r"\r\n|\n|\r", text):
-        if not line.strip():
-            continue
-        if len(line) <= LONG_LINE:
-            found.append(line)
-            continue
-        held = ""
-        for part in _CUT.split(line):
-            held = f"{held} {part}" if held else part
-            if len(held) >= 60:
-                found.append(held)
-                held = ""
-        if held.strip():
-            found.append(held)
-    return found
-
-
-def line_statistics(line: str, common: frozenset[str]) -> tuple[int, ...]:
-    """The levels of the statistics of one line, in the order of ``LEVELS``."""
-    bare = _URL.sub(" ", line)
-    tokens = bare.split()
-    if not tokens:
-        return (0, 4, 0, 0, 0, 0)
-    opened = [t.lstrip(_OPENING) for t in tokens]
-    words = [t.rstrip(".,;:!?…)\"'»“”").lower() for t in opened if _WORD.fullmatch(t)]
-    spaced = len(tokens) > 3 and sum(len(w) == 1 for w in words) > 0.5 * len(tokens)
-    share = 0 if spaced else sum(w in common for w in words) / len(tokens)
-    other = 1 - len(words) / len(tokens)
-    odd = sum(len(w) > 24 or (len(w) > 3 and not _VOWEL.search(w)) for w in words)
-    odd += sum(bool(_CAMEL.search(t)) or any(ord(c) > 0x2000 and c not in "‘’“”–—…•€" for c in t) for t in opened if not _WORD.fullmatch(t))
-    values = sum(bool(_CELL_VALUE.fullmatch(t)) for t in tokens)
-    marker = _MARKER.match(line)
-    rest = bare[marker.end() :] if marker else bare
-    end = rest.rstrip()[-1:]
-    pause = 3 if end and end in ".!?…" else 2 if end and end in ",;:" else 1 if _PAUSE.search(rest) else 0
-    clause = min(2, sum(w in CLAUSE_WORDS for w in words))
-    distinct = len(set(words)) / max(1, len(words))
-    return (
-        5 * bisect_right((0.001, 0.12, 0.2, 0.3), share) + bisect_right((1, 3, 5, 8), len(words)),
-        4 if spaced else bisect_right((0.001, 0.1, 0.3, 0.6), other),
-        1 if marker else 3 if values >= 2 or "</t" in bare or bare.lstrip()[:1] == "|" else 2 if len(_CELLS.findall(bare)) > max(1, len(words) // 4) else 0,
-        3 * pause + clause,
-        2 if odd > 0.3 * len(tokens) or spaced else 1 if odd else 0,
-        0 if len(words) < 4 or distinct > 0.6 else 1 if distinct > 0.4 else 2,
-    )
 
+def _answers(s: Column) -> Column:
+    """True of a line of one to seven different words and at most one other token, links apart, with a common word or an end: too few for statistics."""
+    whole = (s["words"] > 0) & (s["words"] <= SHORT_WORDS) & (s["words"] + s["letters"] >= s["tokens"] - 1)
+    return whole & (s["odd"] == 0) & (s["distinct"] == s["words"]) & ((s["common"] > 0) | s["closes"])
 
-def _rough_label(s: tuple[int, ...], characters: int) -> int:
-    (share, words), other, shape, (pause, clause), odd, repeated = divmod(s[0], 5), s[1], s[2], divmod(s[3], 3), s[4], s[5]
-    if odd == 2 or repeated == 2:
-        return 3
-    if share >= 3 and words >= 2 and other <= 2:
-        return 0
-    if share >= 2 and words >= 3 and other <= 2 and (shape < 3 or pause == 3):
-        return 0
-    if share >= 1 and words >= 3 and other <= 1 and (pause > 1 or clause):
-        return 0
-    if shape == 3:
-        return 2
-    if shape == 1:
-        return 1
-    if shape == 2:
-        return 2 if other >= 3 else 1
-    if 1 <= words <= 2 and other <= 1 and pause == 3:
-        return 0
-    return 1 if words and other <= 1 and characters <= 40 and share == 0 and not odd else 3
-
-
-def rough_labels(lines: list[tuple[tuple[int, ...], int]]) -> list[int]:
-    """A state for each line by rule, from which the tables of the model are counted.
-
-    Lines of a few words that come one after the other without any punctuation
-    and with hardly a clause word are a list, even if they have articles.
-    """
-    labels = [_rough_label(s, c) for s, c in lines]
-    bare = [s[0] % 5 <= 3 and s[3] // 3 == 0 and c <= 60 for s, c in lines]
-    k = 0
-    while k < len(lines):
-        end = k
-        while end < len(lines) and bare[end]:
-            end += 1
-        run = lines[k:end]
-        marked = sum(s[2] == 1 for s, _ in run) > len(run) / 2
-        if len(run) >= (3 if marked else 5) and sum(s[3] % 3 for s, _ in run) <= 0.25 * len(run):
-            labels[k:end] = [1 if label == 0 else label for label in labels[k:end]]
-        k = end + 1
-    return labels
-
-
-def _analysed(text: str, common: frozenset[str]) -> list[tuple[tuple[int, ...], int]]:
-    return [(line_statistics(line, common), len(line)) for line in lines_of(text)]
-
-
-def _code(stats: tuple[int, ...]) -> int:
-    """All levels of a line in one number."""
-    code = 0
-    for level, size in zip(stats, LEVELS, strict=True):
-        code = code * size + level
-    return code
 
+def analysed_lines(documents: DataFrame, id_: str, text: str, common: list[str]) -> DataFrame:
+    """(id, codes, characters, weights, short_answer): the coded statistics, length and weight of every line that is not blank.
 
-def _decoded(codes: np.ndarray) -> np.ndarray:
+    Each text is read once, whole, in built-in functions; texts without such a line have empty arrays.
+    """
+    count = lambda c, pattern: F.regexp_count(c, F.lit(pattern))
+    lines = lambda b: F.filter(F.regexp_extract_all(b, F.lit(_LINE), F.lit(0)), lambda x: x.rlike(r"\S"))
+    blocks = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), _BLOCK, -1), lambda b: F.struct(lines(b).alias("lines"), count(b, _SENTENCE_END).alias("ends")))
+    bare = F.transform(blocks, lambda b: F.transform(b["lines"], lambda x: F.struct(x.alias("line"), F.regexp_replace(x, _URL, " ").alias("bare"), F.size(b["lines"]).alias("lines"), b["ends"].alias("ends"))))
+    # each step names its figures in a struct, so that the next can use them twice without finding them twice
+    words = F.transform(F.flatten(bare), lambda s: F.struct(s["line"].alias("line"), s["bare"].alias("bare"), s["lines"].alias("lines"), s["ends"].alias("ends"), F.regexp_extract_all(F.lower(s["bare"]), F.lit(_WORD), F.lit(1)).alias("found")))
+    figures = F.transform(words, lambda s: F.struct(
+        s["lines"].alias("lines"), s["ends"].alias("ends"), F.length(s["line"]).alias("characters"), F.size(s["found"]).alias("words"), F.size(F.array_distinct(s["found"])).alias("distinct"),
+        F.size(F.filter(s["found"], lambda w: w.isin(common) if common else F.lit(False))).alias("common"), F.size(F.filter(s["found"], lambda w: w.rlike(_UNSPEAKABLE))).alias("odd"),
+        count(s["bare"], r"\S+").alias("tokens"), count(s["bare"], _LETTER).alias("letters"), count(s["bare"], _SEPARATOR).alias("separators"), count(s["bare"], _PAUSE).alias("pauses"),
+        s["bare"].rlike(_MARKER).alias("marker"), s["line"].rlike(_OPENS).alias("opens"), s["line"].rlike(_CLOSES).alias("closes"),
+    ))
+    coded = F.transform(figures, lambda s: F.struct(_code(s).alias("code"), s["characters"].alias("characters"), F.greatest(F.lit(1), F.least(F.lit(MOST_WORDS), s["tokens"])).alias("weight"), _answers(s).alias("answers")))
+    rows = stage(documents.select(id_, coded.alias("coded")), "lines")
+    alone = (F.size("coded") == 1) & F.coalesce(F.get("coded.answers", F.lit(0)), F.lit(False))
+    return rows.select(id_, F.col("coded.code").alias("codes"), F.col("coded.characters").alias("characters"), F.col("coded.weight").alias("weights"), alone.alias("short_answer"))
+
+
+def decoded(codes: np.ndarray) -> np.ndarray:
     """The levels (columns) of coded lines (rows)."""
     columns = []
-    for size in reversed(LEVELS):
+    for size in reversed(list(LEVELS.values())):
         columns.append(codes % size)
         codes = codes // size
     return np.stack(columns[::-1], axis=1)
 
 
-def analysed_lines(documents: DataFrame, id_: str, text: str, common: list[str]) -> DataFrame:
-    """(id, short_answer, codes, characters, labels): the coded statistics, length and rough label of every line.
-
-    Each text is read once, whole; texts without a non-blank line have empty arrays.
-    """
-    known, kind = frozenset(common), documents.schema[id_].dataType.simpleString()
-
-    def analyse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for i, t in zip(batch[id_], batch[text], strict=True):
-                lines = _analysed(t, known) if t else []
-                rows.append((i, bool(lines) and short_answer(t), [_code(s) for s, _ in lines], [c for _, c in lines], rough_labels(lines)))
-            yield pd.DataFrame(rows, columns=[id_, "short_answer", "codes", "characters", "labels"])
-
-    return documents.select(id_, text).mapInPandas(analyse, f"{id_} {kind}, short_answer boolean, codes array<int>, characters array<int>, labels array<int>")
-
-
-def model_counts(lines: DataFrame) -> list[tuple[int, int, int, int]]:
-    """(table, state, level, n): how often each state emits each level and follows each state, over all documents.
-
-    table -1 holds the first states, -2 the transitions (level is the state followed), 0 and up the statistics.
-    The different statistics, label and label before are counted in Spark; a few thousand kinds come back.
-    """
-    before = F.concat(F.array(F.lit(-1)), F.slice("labels", 1, F.greatest(F.size("labels") - 1, F.lit(0))))
-    each = lines.where(F.size("codes") > 0).select(F.explode(F.arrays_zip("codes", "labels", before.alias("before"))).alias("l"))
-    kinds = each.groupBy("l.codes", "l.labels", "l.before").agg(F.count("*").alias("n")).toPandas()
-    found: dict[tuple[int, int, int], int] = {}
-    levels = _decoded(kinds["codes"].to_numpy()) if len(kinds) else np.empty((0, len(LEVELS)), dtype=int)
-    for row, label, previous, n in zip(levels, kinds["labels"], kinds["before"], kinds["n"], strict=True):
-        for k, level in enumerate(row):
-            found[k, label, level] = found.get((k, label, level), 0) + n
-        key = (-1, label, 0) if previous < 0 else (-2, label, previous)
-        found[key] = found.get(key, 0) + n
-    return [(int(t), int(s), int(v), int(n)) for (t, s, v), n in found.items()]
-
-
-def short_answer(text: str) -> bool:
-    """One line of at most six pronounceable words that ends as a sentence does; too little for statistics, but words."""
-    tokens = text.split()
-    if not 1 <= len(tokens) <= 6 or len(text.strip().splitlines()) > 1 or text.rstrip()[-1] not in ".!?":
-        return False
-    return all(_WORD.fullmatch(t.lstrip(_OPENING)) and _VOWEL.search(t) for t in tokens)
+def start_state(codes: np.ndarray) -> np.ndarray:
+    """The state of a line by the two figures of the start."""
+    levels = decoded(codes)
+    return levels[:, 0] // 5 * 2 + (levels[:, 8] >= 1)
 
 
 class LineModel:
-    """The logarithms of the model's tables, with one added to every count."""
-
-    def __init__(self, counts: list[tuple[int, int, int, int]]):
-        n = {(t, s, v): c for t, s, v, c in counts}
-        norm = lambda a: np.log((a + 1) / (a + 1).sum(axis=-1, keepdims=True))
-        states = range(len(STATES))
-        self.first = norm(np.array([n.get((-1, s, 0), 0) for s in states], dtype=float))
-        self.moved = norm(np.array([[n.get((-2, s, b), 0) for s in states] for b in states], dtype=float))
-        self.emitted = [norm(np.array([[n.get((k, s, v), 0) for v in range(size)] for s in states], dtype=float)) for k, size in enumerate(LEVELS)]
-
-    def decode(self, stats: np.ndarray) -> np.ndarray:
-        """The most likely states of one document's lines (rows of levels)."""
-        score = sum(table[:, stats[:, k]].T for k, table in enumerate(self.emitted))
-        best, back = self.first + score[0], np.zeros((len(score), len(STATES)), dtype=int)
-        for t in range(1, len(score)):
-            ways = best[:, None] + self.moved
-            back[t] = ways.argmax(axis=0)
-            best = ways.max(axis=0) + score[t]
-        states = np.empty(len(score), dtype=int)
-        states[-1] = best.argmax()
-        for t in range(len(score) - 1, 0, -1):
-            states[t - 1] = back[t, states[t]]
-        return states
-
-
-def label_shares(documents: DataFrame, id_: str, text: str, common: list[str]) -> DataFrame:
-    """(id, n_lines, short_answer, prose_share, list_share, table_share, junk_share): shares of the characters in lines.
-
-    Texts without a non-blank line, null ones too, have 0 lines and null shares.
-    Every row gives a row; texts are read whole, long lines included.
+    """The tables of the model: first[s], moved[from, to] and emitted[k][s, level], as probabilities."""
+
+    def __init__(self, counts: dict[tuple[int, int, int], float] | None = None):
+        n = counts or {}
+        norm = lambda a: a / a.sum(axis=-1, keepdims=True)
+        states = range(_STATES)
+        # chains begin in any state, and stay in theirs, until counts are known
+        self.first = norm(np.array([n.get((-1, s, 0), 0.0) + 1 for s in states]))
+        self.moved = norm(np.array([[n.get((-2, s, b), 0.0) + 1 + 20 * (s == b) * (not any(k[0] == -2 for k in n)) for b in states] for s in states]))
+        self.emitted = [norm(np.array([[n.get((k, s, v), 0.0) + ADDED for v in range(size)] for s in states])) for k, size in enumerate(LEVELS.values())]
+
+    def likelihood(self, codes: np.ndarray) -> np.ndarray:
+        """How likely each state emits each line, up to a factor for each line."""
+        kinds, which = np.unique(codes, return_inverse=True)
+        levels = decoded(kinds)
+        log = sum(np.log(table[:, levels[:, k]]).T for k, table in enumerate(self.emitted))
+        return np.exp(log - log.max(axis=1, keepdims=True))[which]
+
+    def expected(self, codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(states of each line, first states, moves) expected of chains of the given sizes, by forward and backward sums."""
+        e = self.likelihood(codes)
+        begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        order = np.argsort(-sizes, kind="stable")
+        begin, longest = begin[order], int(sizes.max())
+        # at step t the chains longer than t stand in front
+        going = np.searchsorted(-sizes[order], -np.arange(longest), "left")
+        unit = lambda a: a / a.sum(axis=1, keepdims=True)
+        ahead, behind, moves = np.empty_like(e), np.ones_like(e), np.zeros((_STATES, _STATES))
+        ahead[begin] = unit(self.first * e[begin])
+        for t in range(1, longest):
+            at = begin[: going[t]] + t
+            ahead[at] = unit(ahead[at - 1] @ self.moved * e[at])
+        for t in range(longest - 1, 0, -1):
+            at = begin[: going[t]] + t
+            coming = e[at] * behind[at]
+            before = coming @ self.moved.T
+            weight = (ahead[at - 1] * before).sum(axis=1, keepdims=True)
+            moves += self.moved * ((ahead[at - 1] / weight).T @ coming)
+            behind[at - 1] = unit(before)
+        states = unit(ahead * behind)
+        return states, states[begin].sum(axis=0), moves
+
+    def labels(self) -> list[str]:
+        """A name for each state, by the shares of common words and of other tokens that it emits, and of odd or repeated words."""
+        common = self.emitted[0].reshape(_STATES, 5, 5).sum(axis=2) @ _COMMON
+        other = self.emitted[1] @ _OTHER
+        odd = self.emitted[4][:, 1:].sum(axis=1) + self.emitted[5][:, 2] + self.emitted[6][:, 1:].sum(axis=1)
+        return ["prose" if c >= 0.15 else "junk" if o >= 0.25 else "table" if x >= 0.35 else "list" for c, x, o in zip(common, other, odd, strict=True)]
+
+
+def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows with about ``HELD`` lines at a time: (rows, the row of each chain, its size, the codes); texts longer than ``CHAIN`` are several chains."""
+    for batch in batches:
+        lengths = np.asarray(batch.column("codes").value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)
+        upto, k = np.cumsum(lengths), 0
+        while k < len(lengths):
+            end = max(k + 1, int(np.searchsorted(upto, (upto[k - 1] if k else 0) + HELD, "right")))
+            rows = batch.slice(k, end - k)
+            parts = -(-lengths[k:end] // CHAIN)
+            row = np.repeat(np.arange(end - k), parts)
+            last = np.cumsum(parts)[parts > 0] - 1
+            sizes = np.full(len(row), CHAIN, dtype=np.int64)
+            sizes[last] = (lengths[k:end] - (parts - 1) * CHAIN)[parts > 0]
+            yield rows, row, sizes, rows.column("codes").flatten().to_numpy(zero_copy_only=False)
+            k = end
+
+
+def _round(lines: DataFrame, model: LineModel | None) -> LineModel:
+    """One maximisation: the counts expected under the model, or by the start, summed over all documents."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = [np.zeros((_STATES, size)) for size in LEVELS.values()]
+        first, moves = np.zeros(_STATES), np.zeros((_STATES, _STATES))
+        for rows, _, sizes, codes in _chains(batches):
+            if not len(codes):
+                continue
+            if model is None:
+                states = np.full((len(codes), _STATES), 0.1 / (_STATES - 1))
+                states[np.arange(len(codes)), start_state(codes)] = 0.9
+            else:
+                states, begun, moved = model.expected(codes, sizes)
+                first, moves = first + begun, moves + moved
+            weighted = states * rows.column("weights").flatten().to_numpy(zero_copy_only=False)[:, None]
+            levels = decoded(codes)
+            for k, table in enumerate(tables):
+                for s in range(_STATES):
+                    table[s] += np.bincount(levels[:, k], weights=weighted[:, s], minlength=table.shape[1])
+        found = [(k, s, v, table[s, v]) for k, table in enumerate(tables) for s in range(_STATES) for v in range(table.shape[1])]
+        if model is not None:
+            found += [(-1, s, 0, first[s]) for s in range(_STATES)] + [(-2, s, b, moves[s, b]) for s in range(_STATES) for b in range(_STATES)]
+        columns = list(zip(*found, strict=True))
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32()) for c in columns[:3]), pa.array(columns[3], pa.float64())], names=["part", "state", "level", "n"])
+
+    counts = lines.select("codes", "weights").mapInArrow(count, "part int, state int, level int, n double").groupBy("part", "state", "level").agg(F.sum("n").alias("n"))
+    # as many rows as the tables have entries, at every size
+    return LineModel({(r.part, r.state, r.level): r.n for r in counts.collect()})
+
+
+def learned(lines: DataFrame, rounds: int = ROUNDS) -> LineModel:
+    """The model of :func:`analysed_lines`, after so many rounds from the start by two figures."""
+    model = _round(lines, None)
+    for _ in range(rounds):
+        model = _round(lines, model)
+    return model
+
+
+def label_shares(documents: DataFrame, id_: str, text: str, common: list[str], rounds: int = ROUNDS) -> DataFrame:
+    """(id, n_lines, short_answer, prose_share, list_share, table_share, junk_share): expected shares of the characters in lines.
+
+    Texts without a line that is not blank, null ones too, have 0 lines and null
+    shares. Every row gives a row; texts are read whole, long lines included.
     """
-    lines = stage(analysed_lines(documents, id_, text, common), "lines")
-    counts, kind = model_counts(lines), documents.schema[id_].dataType.simpleString()
-
-    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = LineModel(counts)
-        for batch in batches:
-            rows = []
-            for i, short, codes, characters in zip(batch[id_], batch["short_answer"], batch["codes"], batch["characters"], strict=True):
-                if not len(codes):
-                    rows.append((i, 0, False, *[None] * len(STATES)))
-                    continue
-                states = model.decode(_decoded(np.asarray(codes)))
-                share = np.bincount(states, weights=characters, minlength=len(STATES)) / sum(characters)
-                rows.append((i, len(codes), short, *share.tolist()))
-            frame = pd.DataFrame(rows, columns=[id_, "n_lines", "short_answer", *[f"{s}_share" for s in STATES]], dtype=object)
-            yield frame.where(frame.notna(), None)
-
-    return lines.select(id_, "short_answer", "codes", "characters").mapInPandas(label, f"{id_} {kind}, n_lines long, short_answer boolean, " + ", ".join(f"{s}_share double" for s in STATES))
+    lines = analysed_lines(documents, id_, text, common)
+    model = learned(lines, rounds)
+    names, kind = model.labels(), documents.schema[id_].dataType.simpleString()
+    by_label = np.array([[float(name == label) for label in LABELS] for name in names])
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, row, sizes, codes in _chains(batches):
+            n = np.asarray(rows.column("codes").value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)
+            held = np.zeros((len(n), len(LABELS)))
+            if len(codes):
+                states, _, _ = model.expected(codes, sizes)
+                characters = rows.column("characters").flatten().to_numpy(zero_copy_only=False)
+                np.add.at(held, np.repeat(row, sizes), (states @ by_label) * characters[:, None])
+            total = held.sum(axis=1)
+            shares = [pa.array(held[:, k] / np.where(total > 0, total, 1), pa.float64(), mask=total <= 0) for k in range(len(LABELS))]
+            yield pa.RecordBatch.from_arrays([rows.column(id_), pa.array(n), rows.column("short_answer"), *shares], names=[id_, "n_lines", "short_answer", *[f"{x}_share" for x in LABELS]])
+
+    return lines.select(id_, "codes", "characters", "short_answer").mapInArrow(label, f"{id_} {kind}, n_lines long, short_answer boolean, " + ", ".join(f"{x}_share double" for x in LABELS))
 
 
 def not_prose(shares: DataFrame) -> Column:
-    """True for documents of :func:`label_shares` that are a list, a table or junk."""
+    """True for documents of :func:`label_shares` that are a list, a table or junk; short answers in words are not."""
     return (F.col("n_lines") > 0) & ~F.col("short_answer") & (F.col("prose_share") <= PROSE_SHARE)
 
 
