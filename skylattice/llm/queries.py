@@ -86,19 +86,33 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(_packed(spark, sf_dir))
 
 
-def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[mixing.Source]]:
+def _sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[mixing.Source]]:
     documents = table(spark, sf_dir, "documents").withColumn("source", mixing.source_name("source"))
     sized = stage(tokens.sized(documents, "doc_id", "text", keep=("source",)), "sized")
-    sources = mixing.known_sources(sized, table(spark, sf_dir, "source_targets"))
-    return mixing.mixture(sized, "doc_id", sources), sources
+    return sized, mixing.known_sources(sized, table(spark, sf_dir, "source_targets"))
 
 
 def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mixed(spark, sf_dir)[0]
+    """The largest mixture in which every source has its target share."""
+    sized, sources = _sources(spark, sf_dir)
+    return mixing.mixture(sized, "doc_id", sources)
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.reached(*_mixed(spark, sf_dir))
+    sized, sources = _sources(spark, sf_dir)
+    return mixing.reached(mixing.mixture(sized, "doc_id", sources), sources)
+
+
+def p8_budget_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares reached where the total is as many tokens as the sources have, which the limits allow only off the targets."""
+    sized, sources = _sources(spark, sf_dir)
+    return mixing.reached(mixing.mixture(sized, "doc_id", sources, tokens=sum(s.tokens for s in sources)), sources)
+
+
+def p8_entropy_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares reached by one exponent for all sources, at the entropy of the targets."""
+    sized, sources = _sources(spark, sf_dir)
+    return mixing.reached(mixing.mixture(sized, "doc_id", sources, aim="entropy"), sources)
 
 
 def _common_words(spark: SparkSession, sf_dir: str) -> list[str]:
@@ -120,7 +134,7 @@ def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return textquality.statistics(table(spark, sf_dir, "documents"), "doc_id", "text", _common_words(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_percentiles, p5_found, p5_confidence, p7_layout, p7_fill, p8_mixture, p8_shares, p9_found, p9_shares, p9_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_percentiles, p5_found, p5_confidence, p7_layout, p7_fill, p8_mixture, p8_shares, p8_budget_shares, p8_entropy_shares, p9_found, p9_shares, p9_statistics)}
 
 ORACLE = {
     "p1_found": """

@@ -52,6 +52,28 @@ def test_exponents_and_budgets():
     assert sum(more.values()) == pytest.approx(1200) and more["a"] <= 1000 + 1e-6 and more["b"] <= 400 + 1e-6
     assert sum(mixing.budgets(src, 10**9).values()) == pytest.approx(1400)
     assert mixing.budgets([mixing.Source("x", 0.0, 1, 1, 1)]) == {"x": 0.0}
+    assert mixing.budgets([mixing.Source("x", 0.3, 2, 1, 10)]) == {"x": 20.0}
+    assert 0.7 ** mixing.target_exponent(0.7, 0.2) == pytest.approx(0.2) and 0.01 ** mixing.target_exponent(0.01, 0.9) == pytest.approx(0.9)
+    flat = mixing.budgets(src, aim="entropy")
+    shares = mixing.normalised({k: v for k, v in flat.items() if v})
+    assert mixing.entropy(shares) == pytest.approx(mixing.entropy(mixing.normalised({"a": 0.5, "b": 0.3})), abs=1e-6)
+    with pytest.raises(ValueError, match="aim"):
+        mixing.budgets(src, aim="x")
+
+
+def test_bisection_runs(monkeypatch):
+    steps = []
+    plain = mixing._bisected
+
+    def counting(low, high, rising, n=60):
+        return plain(low, high, lambda x: steps.append(x) or rising(x), n)
+
+    monkeypatch.setattr(mixing, "_bisected", counting)
+    src = [mixing.Source("a", 0.5, 1, 10, 1000), mixing.Source("b", 0.3, 2, 10, 200)]
+    mixing.budgets(src)
+    assert len(steps) == 120  # an exponent for each source
+    mixing.budgets(src, 1200)
+    assert len(steps) == 300  # and a part for the limits
 
 
 def test_mixture(spark):
@@ -69,4 +91,15 @@ def test_mixture(spark):
     for s, t in (("a", 0.2), ("b", 0.3), ("c", 0.4)):
         assert got[s].reached_share == pytest.approx(t / 0.9, abs=0.005)
     assert got["gone"].n_tokens == 0
+    # nothing that would still fit is left out
+    budget = mixing.budgets(sources)
+    for s in "abc":
+        own = df.where(f"source = '{s}' AND n_tokens > 0").toPandas().n_tokens
+        used = uses[uses.source == s]
+        free = budget[s] - (used.n_tokens * used.n_uses).sum()
+        assert 0 <= free < max(1, own.max()) and (len(used) == len(own) or free < 200)
+    wanted = 1.1 * (uses.n_tokens * uses.n_uses).sum()
+    every = mixing.mixture(df, "doc_id", sources, tokens=int(wanted)).toPandas()
+    assert all(every[every.source == s].n_uses.max() <= m for s, m in limits.items())
+    assert 0.99 * wanted < (every.n_tokens * every.n_uses).sum() <= wanted
     assert mixing.mixture(df.limit(0), "doc_id", mixing.known_sources(df.limit(0), targets)).count() == 0
