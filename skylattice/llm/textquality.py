@@ -36,13 +36,13 @@ CHAIN, HELD = 1000, 200_000
 # a line ends at a line break, after 60 characters at a pause, or after 120 at a blank
 _LINE = r"[^\r\n]{60,120}?[.!?;:,](?=\s)|[^\r\n]{120}\S*|[^\r\n]+"
 _BLOCK = r"(?:\r\n|\n|\r)[ \t]*(?=\r\n|\n|\r)"
-_URL = r"\w+://\S+|\bwww\.\S+"
-_EDGE = r"[^\s\p{L}\p{N}_]*"
-_WORD = rf"(?<!\S){_EDGE}(\p{{L}}(?:['’-]?\p{{L}})+){_EDGE}(?!\S)"
-_LETTER = rf"(?<!\S){_EDGE}\p{{L}}{_EDGE}(?!\S)"
-_UNSPEAKABLE = r"\A(?:[^aeiouyà-æè-ïò-öø-ýœ]+|.{25,})\z"
+_URL = r"(?:https?|ftp)://\S+|www\.\S+"
+# letters of all scripts as a few ranges, of a text in lower case
+_WORD = r"[a-z\u00df-\u1fff\u2c00-\ud7ff]{2,}"
+_UNSPEAKABLE = r"\b[bcdfghjklmnpqrstvwxzßçñ]{2,}\b"
+_ALONE = r"(?:\A|\s)\S(?=\s|\z)"
 _PAUSE = r"[.,;:!?…](?=\s|$|[\"')»”])"
-_SENTENCE_END = r"\p{L}[\"')»”]?[.!?…](?=\s|$|[\"')»”])"
+_SENTENCE_END = r"[.!?…](?=\s|$|[\"')»”])(?<=\p{L}[\"')»”]?.)"
 _SEPARATOR = r"[|\t;=,/]|\s{3,}"
 _MARKER = r"\A\s*(?:[-*+•–—·>»→o]\s+|\[[ xX]?\]\s*|#?\d{1,4}[.):]?\s|\(\w{1,3}\)\s|[a-zA-Z][.)]\s|#\w)"
 _OPENS = r"\A\s*[\"'¿¡«„“(*_]*\p{Lu}"
@@ -72,7 +72,7 @@ def _code(s: Column) -> Column:
     many = F.when(words > 3, 1 - s["distinct"] / words).otherwise(0.0)
     levels = [
         5 * _level(_ratio(s["common"], words), 0.001, 0.12, 0.22, 0.35) + _level(words, 1, 4, 7, 12),
-        _level(F.when(n > 0, 1 - words / n).otherwise(1.0), 0.001, 0.15, 0.35, 0.65),
+        _level(F.when(n > 0, F.greatest(F.lit(0.0), 1 - words / n)).otherwise(1.0), 0.001, 0.15, 0.35, 0.65),
         3 * s["marker"].cast("int") + _level(_ratio(s["separators"], n), 0.1, 0.34),
         _level(_ratio(s["pauses"], words), 0.001, 0.1, 0.25, 0.5),
         F.when(some, _level(_ratio(s["odd"], words), 0.05, 0.3)).otherwise(0),
@@ -103,12 +103,13 @@ def analysed_lines(documents: DataFrame, id_: str, text: str, common: list[str])
     blocks = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), _BLOCK, -1), lambda b: F.struct(lines(b).alias("lines"), count(b, _SENTENCE_END).alias("ends")))
     bare = F.transform(blocks, lambda b: F.transform(b["lines"], lambda x: F.struct(x.alias("line"), F.regexp_replace(x, _URL, " ").alias("bare"), F.size(b["lines"]).alias("lines"), b["ends"].alias("ends"))))
     # each step names its figures in a struct, so that the next can use them twice without finding them twice
-    words = F.transform(F.flatten(bare), lambda s: F.struct(s["line"].alias("line"), s["bare"].alias("bare"), s["lines"].alias("lines"), s["ends"].alias("ends"), F.regexp_extract_all(F.lower(s["bare"]), F.lit(_WORD), F.lit(1)).alias("found")))
+    lower = F.transform(F.flatten(bare), lambda s: F.struct(s["line"].alias("line"), s["bare"].alias("bare"), s["lines"].alias("lines"), s["ends"].alias("ends"), F.lower(s["bare"]).alias("lower")))
+    words = F.transform(lower, lambda s: F.struct(*[s[c].alias(c) for c in ("line", "bare", "lines", "ends", "lower")], F.regexp_extract_all(s["lower"], F.lit(_WORD), F.lit(0)).alias("found")))
     figures = F.transform(words, lambda s: F.struct(
         s["lines"].alias("lines"), s["ends"].alias("ends"), F.length(s["line"]).alias("characters"), F.size(s["found"]).alias("words"), F.size(F.array_distinct(s["found"])).alias("distinct"),
-        F.size(F.filter(s["found"], lambda w: w.isin(common) if common else F.lit(False))).alias("common"), F.size(F.filter(s["found"], lambda w: w.rlike(_UNSPEAKABLE))).alias("odd"),
-        count(s["bare"], r"\S+").alias("tokens"), count(s["bare"], _LETTER).alias("letters"), count(s["bare"], _SEPARATOR).alias("separators"), count(s["bare"], _PAUSE).alias("pauses"),
-        s["bare"].rlike(_MARKER).alias("marker"), s["line"].rlike(_OPENS).alias("opens"), s["line"].rlike(_CLOSES).alias("closes"),
+        F.size(F.filter(s["found"], lambda w: w.isin(common) if common else F.lit(False))).alias("common"), count(s["lower"], _UNSPEAKABLE).alias("odd"),
+        count(s["bare"], r"\S+").alias("tokens"), count(s["bare"], _ALONE).alias("letters"), count(s["bare"], _SEPARATOR).alias("separators"), count(s["bare"], _PAUSE).alias("pauses"),
+        F.substring(F.ltrim(s["bare"]), 1, 12).rlike(_MARKER).alias("marker"), F.substring(F.ltrim(s["line"]), 1, 12).rlike(_OPENS).alias("opens"), F.substring(F.rtrim(s["line"]), -8, 8).rlike(_CLOSES).alias("closes"),
     ))
     coded = F.transform(figures, lambda s: F.struct(_code(s).alias("code"), s["characters"].alias("characters"), F.greatest(F.lit(1), F.least(F.lit(MOST_WORDS), s["tokens"])).alias("weight"), _answers(s).alias("answers")))
     rows = stage(documents.select(id_, coded.alias("coded")), "lines")
