@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skylattice.operators.compaction import RECORD_KEY, consolidate, descriptor_records
+from skylattice.operators.compaction import RECORD_KEY, consolidate, deliver, descriptor_records
 from skylattice.operators.hierarchy import descendants, hierarchy
 from skylattice.operators.regions import near_counts, near_pairs
 from skylattice.operators.rejects import load_halo_lines
@@ -49,17 +49,31 @@ def p3_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return valid.select("line_id", "halo_id", "pid", "halo_x", "halo_y", "halo_z", "m200b")
 
 
-def _consolidated(spark: SparkSession, sf_dir: str):
-    # eight numbers take about 60 bytes; 128 MB is a common block size
-    return consolidate(descriptor_records(table(spark, sf_dir, "descriptor_files")), RECORD_KEY, row_bytes=60, file_bytes=128 << 20)
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return descriptor_records(table(spark, sf_dir, "descriptor_files"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _consolidated(spark, sf_dir).rows.select(*RECORD_KEY)
+    return consolidate(_records(spark, sf_dir), RECORD_KEY).rows.select(*RECORD_KEY)
 
 
 def p4_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _consolidated(spark, sf_dir).files.drop("file_name", "n_bytes")
+    """The range metadata, with names and bytes."""
+    return consolidate(_records(spark, sf_dir), RECORD_KEY).files
+
+
+def p4_all_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record as often as it was delivered."""
+    return consolidate(_records(spark, sf_dir), RECORD_KEY, once=False).rows.select(*RECORD_KEY)
+
+
+def p4_delivered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The earlier half of the files first, then those modified later, merged into what stands."""
+    files = table(spark, sf_dir, "descriptor_files")
+    middle = files.agg(F.percentile_approx(F.col("modified_at").cast("double"), 0.5, 1000).alias("middle")).first().middle
+    marked = files.withColumn("late", F.coalesce(F.col("modified_at").cast("double") > F.lit(middle), F.lit(False)))
+    held = consolidate(descriptor_records(marked.where("NOT late")), RECORD_KEY)
+    return deliver(held, descriptor_records(marked.where("late"))).rows.select(*RECORD_KEY)
 
 
 def _halo_points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +92,7 @@ def p6_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_counts(points, near_pairs(points, "halo_id", "box_id"), "halo_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_hierarchy, p2_descendants, p2_whole_hierarchy, p2_all_descendants, p3_found, p3_valid, p4_found, p4_files, p6_found, p6_counts)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_hierarchy, p2_descendants, p2_whole_hierarchy, p2_all_descendants, p3_found, p3_valid, p4_found, p4_files, p4_all_records, p4_delivered, p6_found, p6_counts)}
 
 _TREE = """
 WITH RECURSIVE n AS (
@@ -128,7 +142,7 @@ _RECORDS = r"""
 WITH l AS (SELECT regexp_replace(unnest(regexp_split_to_array(content, '\r\n|\n|\r')), '^[ \t]+|[ \t]+$', '', 'g') AS line FROM descriptor_files),
 f AS (SELECT regexp_split_to_array(line, '[ \t]+') AS v FROM l WHERE line <> ''),
 r AS (SELECT v FROM f WHERE len(v) = 8 AND len(list_filter(v, lambda x: NOT regexp_full_match(x, '[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|[+-]?(?i:nan|inf|infinity)'))) = 0),
-k AS (SELECT DISTINCT cast(cast(v[1] AS DOUBLE) AS BIGINT) AS descriptor_halo_id, cast(cast(v[2] AS DOUBLE) AS INTEGER) AS cell_x, cast(cast(v[3] AS DOUBLE) AS INTEGER) AS cell_y, cast(cast(v[4] AS DOUBLE) AS INTEGER) AS cell_z FROM r)"""
+k AS (SELECT cast(cast(v[1] AS DOUBLE) AS BIGINT) AS descriptor_halo_id, cast(cast(v[2] AS DOUBLE) AS INTEGER) AS cell_x, cast(cast(v[3] AS DOUBLE) AS INTEGER) AS cell_y, cast(cast(v[4] AS DOUBLE) AS INTEGER) AS cell_z FROM r)"""
 
 ORACLE = {
     "p2_found": f"{_TREE} SELECT t.id AS halo_id, root_id, cast(depth AS INTEGER) AS depth FROM tree t JOIN n ON n.id = t.id WHERE n.parent IS NOT NULL",
@@ -136,7 +150,9 @@ ORACLE = {
     "p2_descendants": f"{_TREE}, r AS (SELECT id, depth, unnest(path[:-2]) AS ancestor_id, unnest(range(depth)) AS pos FROM tree WHERE depth > 0) SELECT ancestor_id, id AS descendant_id, cast(depth - pos AS INTEGER) AS distance FROM r",
     "p3_found": f"{_LINES} SELECT line_id, reason FROM e WHERE reason IS NOT NULL",
     "p3_valid": f"{_LINES} SELECT line_id, halo_id, pid, d[1] AS halo_x, d[2] AS halo_y, d[3] AS halo_z, d[4] AS m200b FROM e WHERE reason IS NULL",
-    "p4_found": f"{_RECORDS} SELECT * FROM k",
+    "p4_found": f"{_RECORDS} SELECT DISTINCT * FROM k",
+    "p4_all_records": f"{_RECORDS} SELECT * FROM k",
+    "p4_delivered": f"{_RECORDS} SELECT DISTINCT * FROM k",
     "p6_found": f"{_PAIRS} SELECT halo_id_a, halo_id_b FROM pairs",
     "p6_counts": f"{_PAIRS}, ends AS (SELECT halo_id_a AS halo_id FROM pairs UNION ALL SELECT halo_id_b FROM pairs) SELECT i.halo_id, count(e.halo_id) AS n_near FROM (SELECT DISTINCT halo_id FROM hr_halos) i LEFT JOIN ends e USING (halo_id) GROUP BY 1",
 }
