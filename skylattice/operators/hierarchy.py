@@ -5,7 +5,10 @@ sends its subtree size to its parent. Several peel rounds share one job: a
 round is one ``groupBy`` over the remaining nodes and the messages to them, so
 the plan stays a chain. What is never peeled lies on closed loops. In reverse
 peel order every node then looks up its parent, which was peeled later, and
-gets root, depth and path from it.
+gets root, depth and path from it. Lists of descendants go up with the peel: a
+node sends its list and itself to its parent. A list is a set of rows, dealt
+into blocks by hash, so that the list of a root that holds a third of all rows
+is sent and received in many pieces.
 """
 
 from __future__ import annotations
@@ -143,6 +146,44 @@ def hierarchy(df: DataFrame, node: str, parent: str, root_markers: tuple[int, ..
     return resolved.select(*[F.when(F.col("depth") >= 0, F.col(c)).alias(c) if c == "path" else c for c in columns], F.when((F.col("depth") < 0) & ~F.col("on_loop"), F.col("path")).alias("hang"))
 
 
+#: descendants in one piece of a list, about
+PIECE = 100_000
+
+
+def sent_descendants(df: DataFrame, node: str, parent: str, root_markers: tuple[int, ...] = (-1,), rounds_per_stage: int = 4) -> DataFrame:
+    """(ancestor_id, descendant_id, distance): all descendants of each node, from the lists that the peel sends upwards.
+
+    Every node sends its list, and itself, to its parent as soon as it is peeled;
+    the nodes of one stage of the peel are at most its rounds apart, so that many
+    steps pass the lists through it. Lists to a node on a closed loop or not in
+    the table fall away, so nodes on a loop have no rows, and the trees that hang
+    on a loop have theirs. Input cases as in :func:`peel`.
+    """
+    peeled = peel(df, node, parent, root_markers, rounds_per_stage)
+    whole = peeled.stages[0][1]
+    for _, nodes in peeled.stages[1:]:
+        whole = whole.unionByName(nodes)
+    pieces = (F.col("size") / PIECE).cast("long") + 1
+    known = stage(whole.select(F.col("id").alias("parent"), pieces.alias("parent_pieces")), "known")
+    pairs = None
+    for rounds, nodes in peeled.stages:
+        links = nodes.join(known, "parent").select(F.col("id").alias("at"), F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)).alias("piece"), "parent", "parent_pieces")
+        links = stage(links, "links")
+        # the nodes of this stage, each with itself, and what earlier stages sent to them
+        own = F.pmod(F.xxhash64("id"), pieces).alias("piece")
+        lists = nodes.select(F.col("id").alias("at"), F.col("id").alias("descendant_id"), F.lit(0).alias("distance"), own)
+        if pairs is not None:
+            lists = lists.unionByName(pairs)
+        passed = None
+        for _ in range(rounds):
+            piece = F.pmod(F.xxhash64("descendant_id"), F.col("parent_pieces")).alias("piece")
+            lists = lists.join(links, ["at", "piece"]).select(F.col("parent").alias("at"), "descendant_id", (F.col("distance") + 1).alias("distance"), piece)
+            passed = lists if passed is None else passed.unionByName(lists)
+        passed = stage(passed, "passed")
+        pairs = passed if pairs is None else pairs.unionByName(passed)
+    return pairs.select(F.col("at").alias("ancestor_id"), "descendant_id", F.col("distance").cast("int").alias("distance"))
+
+
 def descendants(tree: DataFrame, below_loops: bool = False) -> DataFrame:
     """(ancestor_id, descendant_id, distance): all descendants of each node of :func:`hierarchy`.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skylattice.operators.compaction import RECORD_KEY, consolidate, deliver, descriptor_records
-from skylattice.operators.hierarchy import descendants, hierarchy
+from skylattice.operators.hierarchy import descendants, hierarchy, sent_descendants
 from skylattice.operators.regions import near_counts, near_pairs
 from skylattice.operators.rejects import load_halo_lines
 from skylattice.runtime import table
@@ -20,11 +20,11 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = hierarchy(table(spark, sf_dir, "hr_halos"), "halo_id", "pid")
     path = F.array_join(F.transform("path", lambda x: x.cast("string")), "/")
-    return tree.select(F.col("id").alias("halo_id"), "root_id", F.col("depth").cast("int").alias("depth"), path.alias("path"), F.when(F.col("depth") >= 0, F.col("size") - 1).alias("n_descendants"))
+    return tree.select(F.col("id").alias("halo_id"), "root_id", F.col("depth").cast("int").alias("depth"), path.alias("path"), (F.col("size") - 1).alias("n_descendants"))
 
 
 def p2_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return descendants(hierarchy(table(spark, sf_dir, "hr_halos"), "halo_id", "pid"))
+    return sent_descendants(table(spark, sf_dir, "hr_halos"), "halo_id", "pid")
 
 
 def p2_whole_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,6 +108,8 @@ WITH RECURSIVE n AS (
   SELECT u.id, u.at AS root_id, len(u.path) - 1 AS depth, u.path FROM up u LEFT JOIN n ON u.nxt = n.id WHERE n.id IS NULL AND NOT u.looped
 ), tree AS (
   SELECT id, root_id, depth, path FROM ended UNION ALL SELECT id, root_id, -1, NULL FROM loops
+), down AS (
+  SELECT id, path FROM ended UNION ALL SELECT id, path[list_position(path[2:], path[1]) + 2:] FROM up WHERE looped
 )"""
 
 _HALF = "SELECT any_value(h.box_id) AS box_id, h.halo_id, any_value(halo_x) AS x, any_value(halo_y) AS y, any_value(halo_z) AS z, any_value(r.boxsize_mpc_h) AS l, any_value(r.env_radius_mpc_h) AS r FROM hr_halos h JOIN sim_runs r USING (run_id) WHERE isfinite(halo_x) AND isfinite(halo_y) AND isfinite(halo_z) GROUP BY 2"
@@ -146,8 +148,8 @@ k AS (SELECT cast(cast(v[1] AS DOUBLE) AS BIGINT) AS descriptor_halo_id, cast(ca
 
 ORACLE = {
     "p2_found": f"{_TREE} SELECT t.id AS halo_id, root_id, cast(depth AS INTEGER) AS depth FROM tree t JOIN n ON n.id = t.id WHERE n.parent IS NOT NULL",
-    "p2_hierarchy": f"{_TREE}, below AS (SELECT unnest(path) AS id, count(*) - 1 AS n_descendants FROM tree WHERE depth >= 0 GROUP BY 1) SELECT t.id AS halo_id, root_id, cast(depth AS INTEGER) AS depth, array_to_string(path, '/') AS path, n_descendants FROM tree t LEFT JOIN below b ON b.id = t.id",
-    "p2_descendants": f"{_TREE}, r AS (SELECT id, depth, unnest(path[:-2]) AS ancestor_id, unnest(range(depth)) AS pos FROM tree WHERE depth > 0) SELECT ancestor_id, id AS descendant_id, cast(depth - pos AS INTEGER) AS distance FROM r",
+    "p2_hierarchy": f"{_TREE}, below AS (SELECT unnest(path) AS id, count(*) - 1 AS n_descendants FROM down GROUP BY 1) SELECT t.id AS halo_id, root_id, cast(depth AS INTEGER) AS depth, array_to_string(path, '/') AS path, n_descendants FROM tree t LEFT JOIN below b ON b.id = t.id",
+    "p2_descendants": f"{_TREE}, r AS (SELECT id, len(path) - 1 AS depth, unnest(path[:-2]) AS ancestor_id, unnest(range(len(path) - 1)) AS pos FROM down WHERE len(path) > 1) SELECT ancestor_id, id AS descendant_id, cast(depth - pos AS INTEGER) AS distance FROM r",
     "p3_found": f"{_LINES} SELECT line_id, reason FROM e WHERE reason IS NOT NULL",
     "p3_valid": f"{_LINES} SELECT line_id, halo_id, pid, d[1] AS halo_x, d[2] AS halo_y, d[3] AS halo_z, d[4] AS m200b FROM e WHERE reason IS NULL",
     "p4_found": f"{_RECORDS} SELECT DISTINCT * FROM k",

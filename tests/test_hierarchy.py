@@ -1,6 +1,7 @@
 import random
 
-from skylattice.operators.hierarchy import descendants, hierarchy
+from skylattice.operators import hierarchy as module
+from skylattice.operators.hierarchy import descendants, hierarchy, sent_descendants
 
 
 def brute(parent):
@@ -64,9 +65,26 @@ def test_trees_below_loops_keep_their_descendants(spark, tmp_path):
             below[(at, node)] = steps
             at, steps = parent[at], steps + 1
     spark.createDataFrame(list(parent.items()), "halo_id long, pid long").write.parquet(f"{tmp_path}/hr_halos.parquet")
-    rows = q.p2_all_descendants(spark, str(tmp_path)).collect()
-    assert len(rows) == len(below) and {(r.ancestor_id, r.descendant_id): r.distance for r in rows} == below
+    for query in (q.p2_all_descendants, q.p2_descendants):
+        rows = query(spark, str(tmp_path)).collect()
+        assert len(rows) == len(below) and {(r.ancestor_id, r.descendant_id): r.distance for r in rows} == below
     got = {r.halo_id: r for r in q.p2_whole_hierarchy(spark, str(tmp_path)).collect()}
     assert {k: r.n_descendants for k, r in got.items()} == {k: None if k in on_loop else sum(a == k for a, _ in below) for k in parent}
     assert got[12].hang == "10/11/12" and got[12].path is None and got[12].root_id == 1 and got[1].hang is None and got[31].hang is None and got[31].path == "30/31"
     assert {k for k, r in got.items() if r.on_loop} == on_loop
+
+
+def test_lists_are_sent_in_pieces_and_through_long_chains(spark, monkeypatch):
+    monkeypatch.setattr(module, "PIECE", 7)
+    # one parent of a third of the rows below a chain, and a second tree
+    parent = {k: k - 1 for k in range(1, 40)} | {0: -1} | {100 + k: 20 for k in range(30)} | {200: None} | {201 + k: 200 + k // 3 for k in range(20)}
+    df = spark.createDataFrame([(k, v) for k, v in parent.items()], "halo_id long, pid long")
+    below = {}
+    for node in parent:
+        at, steps = parent[node], 1
+        while at in parent:
+            below[(at, node)] = steps
+            at, steps = parent[at], steps + 1
+    rows = sent_descendants(df, "halo_id", "pid").collect()
+    assert len(rows) == len(below) and {(r.ancestor_id, r.descendant_id): r.distance for r in rows} == below
+    assert sent_descendants(df.limit(0), "halo_id", "pid").count() == 0
