@@ -6,10 +6,11 @@ import hashlib
 import json
 from dataclasses import asdict, dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skylattice.operators.filters import in_sub_box, with_log_mass
@@ -46,12 +47,12 @@ class Calibration:
 
 
 def regressor(kind: str, label: str, out: str, settings: Calibration):
-    """A tree model by name; extremely random trees are not in Spark, a random forest stands for them."""
+    """A tree model by name, of the size asked; extremely random trees are not in Spark, and a random forest that tries one feature a split stands for them."""
     common = {"featuresCol": "_features", "labelCol": label, "predictionCol": out, "seed": settings.seed, "maxDepth": settings.depth}
     if kind in ("random_forest", "extra_trees"):
-        return RandomForestRegressor(numTrees=settings.trees, **common)
+        return RandomForestRegressor(numTrees=settings.trees, **common, **({"featureSubsetStrategy": "1"} if kind == "extra_trees" else {}))
     if kind in ("xgboost", "gradient_boosting"):
-        return GBTRegressor(maxIter=min(settings.trees, 30), **{**common, "maxDepth": min(settings.depth, 5)})
+        return GBTRegressor(maxIter=settings.trees, **common)
     raise ValueError(f"unknown regressor {kind}")
 
 
@@ -78,6 +79,40 @@ def fit_model(low: DataFrame, high: DataFrame, settings: Calibration) -> tuple[P
     return mass, keep
 
 
+MODEL_VERSION = 1
+
+
+def save_model(models: tuple[PipelineModel, PipelineModel], settings: Calibration, spark: SparkSession, path: str) -> str:
+    """Write both models, and beside them their version, features and the fingerprint of the settings."""
+    for name, model in zip(("mass", "match"), models, strict=True):
+        model.write().overwrite().save(f"{path}/{name}")
+    about = {"version": MODEL_VERSION, "features": list(settings.features), "fingerprint": settings.fingerprint()}
+    spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+    return path
+
+
+def load_model(path: str, settings: Calibration, spark: SparkSession) -> tuple[PipelineModel, PipelineModel]:
+    """The models of :func:`save_model`. Raises if they are of another version or were fitted with other settings."""
+    about = json.loads(spark.read.text(f"{path}/about").first().value)
+    if about["version"] != MODEL_VERSION:
+        raise ValueError(f"the model has version {about['version']}, not {MODEL_VERSION}")
+    if about["fingerprint"] != settings.fingerprint():
+        raise ValueError("the model was fitted with other settings")
+    return PipelineModel.load(f"{path}/mass"), PipelineModel.load(f"{path}/match")
+
+
+def load_or_fit(low: DataFrame, high: DataFrame, settings: Calibration, path: str) -> tuple[PipelineModel, PipelineModel]:
+    """The models at a path, or, where none stands, models fitted now and saved there."""
+    spark = low.sparkSession
+    try:
+        spark.read.text(f"{path}/about")
+    except AnalysisException:
+        models = fit_model(low, high, settings)
+        save_model(models, settings, spark, path)
+        return models
+    return load_model(path, settings, spark)
+
+
 def apply_model(low: DataFrame, models: tuple[PipelineModel, PipelineModel], settings: Calibration) -> DataFrame:
     """``low`` with m200b_cal and p_keep, null where a feature is unknown; below the threshold the mass is null."""
     rows = with_log_mass(low)
@@ -92,10 +127,10 @@ def apply_model(low: DataFrame, models: tuple[PipelineModel, PipelineModel], set
     return out
 
 
-def calibrate(low: DataFrame, high: DataFrame, settings: Calibration, groups: tuple[str, ...] = ("run_id",), check: bool = True) -> DataFrame:
+def calibrate(low: DataFrame, high: DataFrame, settings: Calibration, groups: tuple[str, ...] = ("run_id",), check: bool = True, model_path: str | None = None) -> DataFrame:
     """``low`` with m200b_cal, mass_calib_method, matched, hr_id and p_keep, those that don't apply null.
 
-    The raw mass stays. Raises if no halo at all gets a mass, on request of ``check``.
+    The raw mass stays. A model of matches is kept at ``model_path``, if one is given. Raises if no halo at all gets a mass, on request of ``check``.
     """
     if settings.method == "off":
         out = low.withColumn("m200b_cal", F.col("m200b"))
@@ -105,7 +140,8 @@ def calibrate(low: DataFrame, high: DataFrame, settings: Calibration, groups: tu
     elif settings.method == "matching":
         out = transferred_mass(low, high, match_one_to_one(high, low, settings.k))
     else:
-        out = apply_model(low, fit_model(low, high, settings), settings)
+        models = fit_model(low, high, settings) if model_path is None else load_or_fit(low, high, settings, model_path)
+        out = apply_model(low, models, settings)
     for c, kind in (("matched", "boolean"), ("hr_id", "bigint"), ("p_keep", "double")):
         if c not in out.columns:
             out = out.withColumn(c, F.lit(None).cast(kind))

@@ -70,8 +70,8 @@ def p4_all_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_delivered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The earlier half of the files first, then those modified later, merged into what stands."""
     files = table(spark, sf_dir, "descriptor_files")
-    middle = files.agg(F.percentile_approx(F.col("modified_at").cast("double"), 0.5, 1000).alias("middle")).first().middle
-    marked = files.withColumn("late", F.coalesce(F.col("modified_at").cast("double") > F.lit(middle), F.lit(False)))
+    middle = files.agg(F.percentile_approx(F.unix_micros(F.col("modified_at").cast("timestamp")), 0.5, 1000).alias("middle")).first().middle
+    marked = files.withColumn("late", F.coalesce(F.unix_micros(F.col("modified_at").cast("timestamp")) > F.lit(middle), F.lit(False)))
     held = consolidate(descriptor_records(marked.where("NOT late")), RECORD_KEY)
     return deliver(held, descriptor_records(marked.where("late"))).rows.select(*RECORD_KEY)
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+import warnings
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,8 +24,15 @@ LAYOUTS: dict[str, dict[str, int]] = {
 # fixed values: the columns of a descriptor file
 DESCRIPTOR_COLUMNS = ("descriptor_halo_id", "cell_x", "cell_y", "cell_z", "descriptor_m200b", "halo_rg", "tidal_anisotropy", "overdensity")
 DESCRIPTOR_FILE = r"^(\d+)_halo_environment_descriptors\.txt$"
-# fixed values: the spellings of the cosmology in headers
-COSMOLOGY_KEYS = {"om": "om", "omega_m": "om", "ol": "ol", "omega_l": "ol", "h": "h", "h0": "h"}
+# fixed values: the spellings of the cosmology in headers; blanks count as underscores, and any name that begins like the last two is meant
+COSMOLOGY_KEYS = {"om": "om", "ol": "ol", "h": "h", "h0": "h"}
+COSMOLOGY_BEGINNINGS = {"omega_m": "om", "omega_l": "ol"}
+
+
+def cosmology_key(name: str) -> str | None:
+    """om, ol or h for a name in a header, else None."""
+    plain = name.strip().lower().replace(" ", "_")
+    return COSMOLOGY_KEYS.get(plain) or next((v for k, v in COSMOLOGY_BEGINNINGS.items() if plain.startswith(k)), None)
 
 
 @dataclass
@@ -40,7 +48,7 @@ class Header:
         for line in self.lines:
             for part in line.lstrip("#").split(";"):
                 name, _, value = part.partition("=")
-                known = COSMOLOGY_KEYS.get(name.strip().lower())
+                known = cosmology_key(name)
                 try:
                     if known:
                         found[known] = float(value)
@@ -60,37 +68,45 @@ class Header:
         return {}
 
     def pid_column(self) -> int | None:
-        """Where the parent id stands: by name, or column 40 of rows of 41 that are shorter than their header."""
-        columns = self.columns()
-        if self.width == 41 and len(columns) > 41:
-            return 40
-        return columns.get("pid")
+        """Where the parent id stands: by name, or in the place of short rows where they end before that."""
+        named = self.columns().get("pid")
+        short = LAYOUTS["list"]["pid"]
+        return short if self.width is not None and self.width <= (named if named is not None else -1) else named
 
 
 def read_header(spark: SparkSession, path: str) -> Header:
-    """The leading comments, and the number of columns of the first row; a few lines, so read on the driver."""
-    top = [r.value for r in spark.read.text(path).limit(200).collect()]
-    comments = []
-    for line in top:
-        if line.startswith("#"):
-            comments.append(line)
-        elif line.strip():
-            return Header(comments, len(line.split()))
-    return Header(comments)
-
-
-def host_filter(header: Header, wanted: bool | None) -> int | None:
+    """The leading comments, however many, and the number of columns of the first row; read on the driver."""
+    n = 256
+    while True:
+        top = [r.value for r in spark.read.text(path).limit(n).collect()]
+        comments = []
+        for line in top:
+            if line.startswith("#"):
+                comments.append(line)
+            elif line.strip():
+                return Header(comments, len(line.split()))
+        if len(top) < n:
+            return Header(comments)
+        n *= 4
+
+
+def host_filter(header: Header, wanted: bool | None, default: int | None = None) -> int | None:
     """The column to filter hosts by, or None for no filter.
 
-    ``wanted`` False never filters; True raises where there is no parent column;
-    None filters where there is one.
+    ``wanted`` False never filters; None filters where the header names a parent
+    column. True filters by that column; a catalogue that names its columns but
+    no parent raises, one without names takes ``default`` with a warning, and
+    raises without a default.
     """
     if wanted is False:
         return None
     column = header.pid_column()
-    if column is None and wanted:
+    if column is not None or not wanted:
+        return column
+    if default is None or header.columns():
         raise ValueError("the catalogue has no pid column to filter hosts by")
-    return column
+    warnings.warn(f"the catalogue names no columns; hosts are filtered by column {default}", stacklevel=2)
+    return default
 
 
 def text_rows(df: DataFrame, columns: dict[str, int], longs: tuple[str, ...] = ("id", "pid")) -> DataFrame:
@@ -111,7 +127,7 @@ def halo_catalog(spark: SparkSession, path: str | list[str], layout: str | dict[
     picked = {c: where[c] for c in (columns or [c for c in ("id", "pid", "x", "y", "z", "m200b") if c in where])}
     column = None
     if hosts is not False:
-        column = where.get("pid") if layout == "hlist" else host_filter(read_header(spark, path if isinstance(path, str) else path[0]), hosts)
+        column = where.get("pid") if layout == "hlist" else host_filter(read_header(spark, path if isinstance(path, str) else path[0]), hosts, where.get("pid"))
     rows = text_rows(spark.read.text(path), picked | ({"_pid": column} if column is not None else {}), ("id", "pid", "_pid"))
     if column is not None:
         rows = rows.where("_pid = -1").drop("_pid")
@@ -191,6 +207,6 @@ def header_cosmology(lines: DataFrame, text: str = "raw_line", key: tuple[str, .
     """(key, om, ol, h) of many files at once, from their comment lines; null where a file does not say."""
 
     def value(pattern: str) -> Column:
-        return F.max(F.regexp_extract(F.lower(text), rf"(?:^|[#;\s])(?:{pattern})\s*=\s*([-+0-9.e]+)", 1).try_cast(T.DoubleType()))
+        return F.max(F.regexp_extract(F.lower(text), rf"(?:^|[#;])\s*(?:{pattern})\s*=\s*([-+0-9.e]+)", 1).try_cast(T.DoubleType()))
 
-    return lines.where(F.col(text).startswith("#")).groupBy(*key).agg(value("om|omega_m").alias("om"), value("ol|omega_l").alias("ol"), value("h|h0").alias("h"))
+    return lines.where(F.col(text).startswith("#")).groupBy(*key).agg(value("om|omega[ _]m[^=;]*").alias("om"), value("ol|omega[ _]l[^=;]*").alias("ol"), value("h|h0").alias("h"))

@@ -93,7 +93,18 @@ def test_text_catalogues(spark, tmp_path):
     assert catalogs.Header(["#ID x y"], 3).pid_column() is None
     with pytest.raises(ValueError):
         catalogs.host_filter(catalogs.Header(["#ID x y"], 3), True)
-    assert catalogs.Header(["#ID " + " ".join(f"c{k}" for k in range(50))], 41).pid_column() == 40
+    named = "#ID " + " ".join("PID" if k == 45 else f"c{k}" for k in range(50))
+    assert catalogs.Header([named], 41).pid_column() == 40 and catalogs.Header([named], 60).pid_column() == 46
+    assert catalogs.Header(["#omega matter = 0.3; Omega_Lambda0 = 0.7; H0 = 0.7"]).cosmology() == {"om": 0.3, "ol": 0.7, "h": 0.7}
+    with pytest.warns(UserWarning, match="column 5"):
+        assert catalogs.host_filter(catalogs.Header(["# no names"], 60), True, 5) == 5
+    assert catalogs.host_filter(catalogs.Header(["# no names"], 60), None, 5) is None
+    late = tmp_path / "late.list"
+    late.write_text("\n".join(["# a comment"] * 300) + "\n#ID X Y Z M200b PID\n#Omega_M = 0.3; Omega_L = 0.7; h = 0.7\n1 2 3 4 1e12 -1\n2 2 3 4 1e12 1\n")
+    header = catalogs.read_header(spark, str(late))
+    assert header.pid_column() == 5 and len(header.lines) == 302 and header.cosmology()["om"] == 0.3
+    columns = {"id": 0, "x": 1, "y": 2, "z": 3, "m200b": 4}
+    assert [r.id for r in catalogs.halo_catalog(spark, str(late), columns).collect()] == [1]
     assert catalogs.Header(["#Omega_M = 0.3; Omega_L = 0.7; h0 = 0.7"]).cosmology() == {"om": 0.3, "ol": 0.7, "h": 0.7}
     q = tmp_path / "p.txt"
     q.write_text("1 2 3 9\n\n4 5 6\n# c\n7 8\n")
@@ -158,3 +169,25 @@ def test_streams(spark, tmp_path):
     q = incremental.deposit_stream(incremental.particle_stream(spark, str(src)), 3, 10.0).writeStream.format("memory").queryName("dep").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.sql("SELECT sum(v) FROM dep").first()[0] == pytest.approx(3.0)
+
+
+def test_model_sizes_arrive_and_models_are_kept(spark, tmp_path):
+    import numpy as np
+
+    from skylattice.operators import calibration
+
+    for kind in ("gradient_boosting", "random_forest", "extra_trees"):
+        made = calibration.regressor(kind, "y", "p", calibration.Calibration("matching_ml", regressor=kind, trees=60, depth=8))
+        trees = made.getMaxIter() if kind == "gradient_boosting" else made.getNumTrees()
+        assert (trees, made.getMaxDepth()) == (60, 8)
+    rng = np.random.default_rng(0)
+    xyz, mass = rng.uniform(0, 50, (60, 3)), 10 ** rng.uniform(11, 13, 60)
+    rows = [(k, 1, 1, *map(float, xyz[k]), float(mass[k]), 50.0, 2.0) for k in range(60)]
+    df = spark.createDataFrame(rows, "id long, run_id int, box int, x double, y double, z double, m200b double, side double, r_match double").withColumn("max_mass_distance", F.lit(0.9))
+    settings = calibration.Calibration("matching_ml", trees=3, depth=2)
+    path = str(tmp_path / "model")
+    first = calibration.calibrate(df, df, settings, model_path=path).select("id", "m200b_cal").orderBy("id").collect()
+    again = calibration.calibrate(df, df.limit(0), settings, model_path=path).select("id", "m200b_cal").orderBy("id").collect()
+    assert first == again
+    with pytest.raises(ValueError, match="other settings"):
+        calibration.load_model(path, calibration.Calibration("matching_ml", trees=4, depth=2), spark)
