@@ -5,7 +5,10 @@ protects the half of its items nearest to one tail and compacts a part of the
 others: it sorts them and moves every second one up, starting with a coin toss.
 The part is chosen by a counter, so that items are compacted the more rarely the
 nearer they are to the protected tail. So the rank error at a percentile is a
-fraction of its distance from that tail, and near the tail ranks are exact.
+fraction of its distance from that tail, and near the tail ranks are exact. Where
+extremes on both sides matter, one sketch protects each tail, and a percentile is
+read from the sketch of the nearer one. The coin depends on what a sketch is
+of, so that sketches of equal size do not err alike.
 
 With the default section size the error of a share of values is below
 ``SHARE_ERROR`` everywhere and falls in proportion to the distance from the
@@ -15,6 +18,7 @@ merge level by level, in any order.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -27,7 +31,7 @@ from skylattice.runtime import finite
 
 SECTION = 32
 SHARE_ERROR = 0.005
-#: a worker holds so many values before it compacts them, so its memory is bounded
+#: a worker holds so many values before it compacts them, and as many items in its sketches before it sends these on, so its memory is bounded
 BUFFER_ROWS = 1_000_000
 #: the sketches of so many partitions are merged first, these then with each other, so no task merges those of all partitions
 MERGE_FAN = 256
@@ -36,8 +40,8 @@ MERGE_FAN = 256
 class Compactors:
     """A relative-rank sketch. ``protect`` names the tail ("high" or "low") whose ranks stay exact."""
 
-    def __init__(self, section: int = SECTION, protect: str = "high", n: int = 0, levels: Iterable = (), counters: Iterable = ()):
-        self.section, self.sign, self.n = section, 1.0 if protect == "high" else -1.0, int(n)
+    def __init__(self, section: int = SECTION, protect: str = "high", n: int = 0, levels: Iterable = (), counters: Iterable = (), of: object = None):
+        self.section, self.sign, self.n, self.of = section, 1.0 if protect == "high" else -1.0, int(n), of
         self.levels = [np.asarray(v, dtype=float) * self.sign for v in levels] or [np.empty(0)]
         self.counters = [int(c) for c in counters] or [0]
 
@@ -49,7 +53,7 @@ class Compactors:
         ones = (~counter & (counter + 1)).bit_length()  # trailing ones of the counter, plus one
         part = len(items) - self.section * (2 * sections - min(sections, ones))
         part -= part % 2
-        coin = np.random.default_rng((self.n, level, counter)).integers(2)
+        coin = zlib.crc32(repr((self.of, self.n, level, counter)).encode()) >> 7 & 1
         if level + 1 == len(self.levels):
             self.levels.append(np.empty(0))
             self.counters.append(0)
@@ -145,20 +149,28 @@ def sketches(df: DataFrame, keys: list[str], fields: list[str], missing: tuple[f
                     if len(values):
                         name = (*(key if isinstance(key, tuple) else (key,)), f)
                         name = tuple(None if pd.isna(x) else x for x in name)
-                        open_.setdefault(name, Compactors(section, protect)).add(values)
+                        if name not in open_:
+                            open_[name] = Compactors(section, protect, of=(name, number))
+                        open_[name].add(values)
 
+        def sent() -> Iterator[pd.DataFrame]:
+            rows = [(*name, number // MERGE_FAN, *s.row()) for name, s in open_.items()]
+            for k in range(0, len(rows), 500):
+                yield pd.DataFrame(rows[k : k + 500], columns=[*names, "n", "levels", "counters"], dtype=object)
+            open_.clear()
+
+        number = TaskContext.get().partitionId()
         for batch in batches:
             held.append(batch)
             size += len(batch)
             if size >= BUFFER_ROWS:
                 fold()
                 held, size = [], 0
+                if sum(len(v) for s in open_.values() for v in s.levels) >= BUFFER_ROWS:
+                    yield from sent()
         if held:
             fold()
-        part = TaskContext.get().partitionId() // MERGE_FAN
-        rows = [(*name, part, *s.row()) for name, s in open_.items()]
-        for k in range(0, len(rows), 500):
-            yield pd.DataFrame(rows[k : k + 500], columns=[*names, "n", "levels", "counters"], dtype=object)
+        yield from sent()
 
     return merged(merged(flat.mapInPandas(partial, schema), names, section, protect), [*keys, "field_name"], section, protect)
 
@@ -193,8 +205,8 @@ def merged(parts: DataFrame, keys: list[str], section: int = SECTION, protect: s
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for group in _groups(batches):
-            first, *rest = (Compactors(section, protect, n, levels, counters) for n, levels, counters in zip(group.n, group.levels, group.counters, strict=True))
             key = [None if pd.isna(x) else x for x in group[keys].iloc[0]]
+            first, *rest = (Compactors(section, protect, n, levels, counters, tuple(map(str, key))) for n, levels, counters in zip(group.n, group.levels, group.counters, strict=True))
             rows.append((*key, *first.merge(rest).row()))
             if len(rows) == 500:
                 yield pd.DataFrame(rows, columns=[*keys, "n", "levels", "counters"], dtype=object)

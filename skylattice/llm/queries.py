@@ -19,10 +19,6 @@ def _descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("descriptor_halo_id", "batch_day").agg(*[F.first(c).alias(c) for c in ("run_id", *FIELDS)])
 
 
-def _run_sketches(daily: DataFrame) -> DataFrame:
-    return quantiles.merged(daily, ["run_id", "field_name"])
-
-
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     once = stage(_descriptors(spark, sf_dir), "descriptors")
     daily = stage(quantiles.sketches(once, ["run_id", "batch_day"], FIELDS, MISSING), "sketches")
@@ -51,10 +47,14 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    daily = stage(quantiles.sketches(_descriptors(spark, sf_dir), ["run_id", "batch_day"], FIELDS, MISSING), "sketches")
-    runs = _run_sketches(daily)
-    overall = quantiles.merged(daily, ["field_name"]).withColumn("run_id", F.lit(None).cast("int"))
-    return quantiles.percentiles(runs.unionByName(overall), ["run_id", "field_name"], [1.0, 5.0, 25.0, 50.0, 75.0, 95.0, 99.0, 99.9])
+    """Each percentile from the sketch that protects the nearer tail; days are merged to runs, then runs to all."""
+    once, found = stage(_descriptors(spark, sf_dir), "descriptors"), []
+    for tail, pcts in (("low", [0.1, 1.0, 5.0, 25.0]), ("high", [50.0, 75.0, 95.0, 99.0, 99.9])):
+        daily = quantiles.sketches(once, ["run_id", "batch_day"], FIELDS, MISSING, protect=tail)
+        runs = stage(quantiles.merged(daily, ["run_id", "field_name"], protect=tail), "runs")
+        overall = quantiles.merged(runs, ["field_name"], protect=tail).withColumn("run_id", F.lit(None).cast("int"))
+        found.append(quantiles.percentiles(runs.unionByName(overall), ["run_id", "field_name"], pcts, protect=tail))
+    return found[0].unionByName(found[1])
 
 
 def _matches(spark: SparkSession, sf_dir: str, least: float) -> DataFrame:

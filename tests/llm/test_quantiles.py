@@ -61,3 +61,23 @@ def test_merging_in_two_steps(spark, monkeypatch):
         found = made.collect()
         assert sum(r.n for r in found) == 40_000 and len(found) == (2 if keys else 1)
         assert all(abs(r.pct_value - 20_000) < 400 for r in Q.percentiles(made, [*keys, "field_name"], [50.0]).collect())
+
+
+def test_both_tails_have_multiplicative_errors():
+    n, parts = 300_000, 60
+    values = np.random.default_rng(4).lognormal(0, 2, n)
+    ordered = np.sort(values)
+    for protect, shares in (("low", (0.001, 0.01, 0.05)), ("high", (0.95, 0.99, 0.999))):
+        first, *rest = [Q.Compactors(protect=protect, of=k).add(v) for k, v in enumerate(np.array_split(values, parts))]
+        got = first.merge(rest).percentiles(np.array(shares))
+        for share, value in zip(shares, got, strict=True):
+            distance = min(share, 1 - share) * n
+            assert abs(np.searchsorted(ordered, value, "right") - share * n) <= max(2, 0.05 * distance)
+
+
+def test_open_sketches_are_sent_on(spark, monkeypatch):
+    # with little room the sketches of a partition are sent in many pieces, which merge all the same
+    monkeypatch.setattr(Q, "BUFFER_ROWS", 100)
+    df = spark.range(0, 6_000, 1, 2).selectExpr("cast(id AS double) AS v", "id % 5 AS g")
+    got = Q.sketches(df, ["g"], ["v"]).collect()
+    assert sorted((r.g, r.n) for r in got) == [(g, 1_200) for g in range(5)]
