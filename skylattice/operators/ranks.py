@@ -47,6 +47,28 @@ def average_ranks(df: DataFrame, groups: list[str], value: str, into: str = "ran
     return df.withColumn("_v", known).alias("a").join(ranks.alias("b"), same, "left").select(*[F.col(f"a.{c}").alias(c) for c in df.columns], F.col(f"b.{into}").alias(into))
 
 
+def quantiles(df: DataFrame, groups: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """(groups, n, <name>): the values at the named shares (0 to 1) of each group, linear between values.
+
+    The rows beside each share are found by rank, so no group's values are
+    gathered. Null and NaN values do not count; a group without values has no row.
+    """
+    rows = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*groups, F.col(value).cast("double").alias("_v"))
+    numbered = row_numbers(rows, groups, [F.asc("_v")], "_k")
+    sizes = numbered.groupBy(*groups).agg(F.max("_k").alias("n"))
+    # the position of each share is found in the one row of a group, and its two neighbours by a combined maximum
+    same = F.lit(True)
+    for g in groups:
+        same = same & F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}"))
+    met = numbered.alias("a").join(sizes.alias("b"), same) if groups else numbered.alias("a").join(sizes.alias("b"))
+    met = met.select(*[F.col(f"a.{g}").alias(g) for g in groups], "_v", "_k", "n")
+    at = {name: F.round(F.lit(float(share)) * (F.col("n") - 1) + 1, 9) for name, share in shares.items()}
+    beside = [F.max(F.when(F.col("_k") == F.floor(x) + k, F.col("_v"))).alias(f"{name}_{k}") for name, x in at.items() for k in (0, 1)]
+    found = met.groupBy(*groups).agg(F.max("n").alias("n"), *beside)
+    mixed = [(F.col(f"{name}_0") + F.coalesce((x - F.floor(x)) * (F.col(f"{name}_1") - F.col(f"{name}_0")), F.lit(0.0))).alias(name) for name, x in at.items()]
+    return found.select(*groups, "n", *mixed)
+
+
 def _running(df: DataFrame, groups: list[str], order: str, amount: str, into: str) -> DataFrame:
     """Running sums along ``order`` in each group, by range partitions with offsets."""
     ordered = [F.asc_nulls_first(g) for g in groups] + [F.col(order)]

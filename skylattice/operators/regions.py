@@ -54,25 +54,44 @@ def ear_clip(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int]]:
     return found
 
 
-def triangulate(polygons: DataFrame, key: str, xs: str = "xs", ys: str = "ys") -> DataFrame:
-    """(key, ax, ay, bx, by, cx, cy): the triangles of each polygon, given as arrays of its corners.
-
-    Null polygons and those with null, NaN or infinite corners have no triangles.
-    """
+def _cut(polygons: DataFrame, key: str, xs: str, ys: str) -> DataFrame:
+    """(key, ax, ay, bx, by, cx, cy, error): the triangles of each polygon, or a row with the reason why it has none."""
     kind = polygons.schema[key].dataType.simpleString()
 
     def clip(batches):
         for batch in batches:
             rows = []
             for name, px, py in zip(batch[key], batch[xs], batch[ys], strict=True):
+                error, found = None, []
                 if px is None or py is None or len(px) != len(py):
-                    continue
-                px, py = np.asarray(px, dtype=float), np.asarray(py, dtype=float)
-                if np.isfinite(px).all() and np.isfinite(py).all():
-                    rows += [(name, px[a], py[a], px[b], py[b], px[c], py[c]) for a, b, c in ear_clip(px, py)]
-            yield pd.DataFrame(rows, columns=[key, *TRIANGLE])
+                    error = "no corners"
+                else:
+                    px, py = np.asarray(px, dtype=float), np.asarray(py, dtype=float)
+                    if not (np.isfinite(px).all() and np.isfinite(py).all()):
+                        error = "a corner is not finite"
+                    else:
+                        try:
+                            found = ear_clip(px, py)
+                            error = None if found else "no area"
+                        except ValueError as e:
+                            error = str(e)
+                rows += [(name, px[a], py[a], px[b], py[b], px[c], py[c], None) for a, b, c in found] if found else [(name, *[None] * 6, error)]
+            yield pd.DataFrame(rows, columns=[key, *TRIANGLE, "error"], dtype=object)
+
+    return polygons.where(F.col(key).isNotNull()).select(key, xs, ys).mapInPandas(clip, f"{key} {kind}, " + ", ".join(f"{c} double" for c in TRIANGLE) + ", error string")
+
+
+def triangulate(polygons: DataFrame, key: str, xs: str = "xs", ys: str = "ys") -> DataFrame:
+    """(key, ax, ay, bx, by, cx, cy): the triangles of each polygon, given as arrays of its corners.
+
+    Polygons that :func:`polygon_errors` lists have none.
+    """
+    return _cut(polygons, key, xs, ys).where("error IS NULL").drop("error")
+
 
-    return polygons.where(F.col(key).isNotNull()).select(key, xs, ys).mapInPandas(clip, f"{key} {kind}, " + ", ".join(f"{c} double" for c in TRIANGLE))
+def polygon_errors(polygons: DataFrame, key: str, xs: str = "xs", ys: str = "ys") -> DataFrame:
+    """(key, error): the polygons without triangles and why: no corners, a corner that is not finite, no area, or not simple."""
+    return _cut(polygons, key, xs, ys).where("error IS NOT NULL").select(key, "error")
 
 
 def _spread(v: np.ndarray) -> np.ndarray:
@@ -201,20 +220,35 @@ def _tile_pairs(points: DataFrame, prisms: DataFrame, periodic: bool, near: bool
     return left.groupBy(*[f"l_{c}" for c in group]).cogroup(right.groupBy(*[f"r_{c}" for c in group])).applyInPandas(match, "region_id long, point_id long, distance double")
 
 
-def regions_of_points(points: DataFrame, polygons: DataFrame, point: str, region: str, tile_side: float, one_region: bool = False, tile_points: int = 2000) -> DataFrame:
+def regions_of_points(points: DataFrame, polygons: DataFrame, point: str, region: str, tile_side: float | None = None, one_region: bool = False, tile_points: int = 2000, space: str | None = None) -> DataFrame:
     """(point, region): the polygons that contain each point of a plane, edges included.
 
-    points: ``point``, x, y; polygons: ``region``, xs, ys. A point on the edge
-    between regions is in each, or with ``one_region`` in the one with the
-    smallest id. Points with null, NaN or infinite coordinates are in none.
-    Rows that repeat a point or region count once.
+    points: ``point``, x, y; polygons: ``region``, xs, ys; both with ``space``, if
+    one is named, the plane that they are in. A point on the edge between regions
+    is in each, or with ``one_region`` in the one with the smallest id. Points
+    with null, NaN or infinite coordinates are in none; polygons that
+    :func:`polygon_errors` lists hold none. Rows that repeat a point or region
+    count once. Without ``tile_side`` a tile holds about ``tile_points``, and is
+    no narrower than a quarter of the mean polygon.
     """
-    placed = points.select(F.lit(0).alias("space"), F.col(point).cast("long").alias("point_id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.lit(0.0).alias("z"), F.lit(float(tile_side)).alias("side"), F.lit(1).alias("tiles"))
+    plane = F.lit(0) if space is None else F.col(space)
+    placed = points.select(plane.alias("space"), F.col(point).cast("long").alias("point_id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.lit(0.0).alias("z"))
     placed = placed.where(finite(F.col("x")) & finite(F.col("y")) & F.col("point_id").isNotNull()).dropDuplicates(["point_id", "x", "y"])
-    parts = triangulate(polygons.select(F.col(region).cast("long").alias("region_id"), "xs", "ys").dropDuplicates(["region_id", "xs", "ys"]), "region_id")
+    shapes = polygons.select(plane.alias("space"), F.col(region).cast("long").alias("region_id"), "xs", "ys").dropDuplicates(["region_id", "xs", "ys"])
+    parts = triangulate(shapes, "region_id")
+    if space is None:
+        parts = parts.withColumn("space", F.lit(0))
+    else:
+        parts = parts.join(shapes.select("region_id", "space").dropDuplicates(["region_id"]), "region_id")
     edges = {f"{a}{end}": f(*[F.col(f"{c}{a}") for c in "abc"]) for a in "xy" for end, f in (("lo", F.least), ("hi", F.greatest))}
-    parts = parts.withColumns(edges | {"zlo": F.lit(0.0), "zhi": F.lit(0.0), "space": F.lit(0), "side": F.lit(float(tile_side)), "tiles": F.lit(1)})
-    found = _tile_pairs(placed, parts, periodic=False, near=False, tile_points=tile_points).select(F.col("point_id").alias(point), F.col("region_id").alias(region))
+    parts = stage(parts.withColumns(edges | {"zlo": F.lit(0.0), "zhi": F.lit(0.0)}), "triangles")
+    if tile_side is None:
+        span = lambda a: F.max(a) - F.min(a)
+        held = placed.groupBy("space").agg(F.count("*").alias("n"), (span("x") * span("y")).alias("area")).agg(F.sum("n").alias("n"), F.sum("area").alias("area")).first()
+        wide = parts.agg(F.avg(F.greatest(F.col("xhi") - F.col("xlo"), F.col("yhi") - F.col("ylo"))).alias("w")).first().w
+        tile_side = max(((held.area or 0.0) * tile_points / max(1, held.n or 0)) ** 0.5, (wide or 0.0) / 4) or 1.0
+    tiles = {"side": F.lit(float(tile_side)), "tiles": F.lit(1)}
+    found = _tile_pairs(placed.withColumns(tiles), parts.withColumns(tiles), periodic=False, near=False, tile_points=tile_points).select(F.col("point_id").alias(point), F.col("region_id").alias(region))
     return found.groupBy(point).agg(F.min(region).alias(region)) if one_region else found.distinct()
 
 

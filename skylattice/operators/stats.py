@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skylattice.functions.cosmology import bin_of
+from skylattice.operators.ranks import quantiles
 from skylattice.runtime import finite
 
 
@@ -48,9 +49,18 @@ def mean_of_realisations(hmf: DataFrame, realisation: str, keep: list[str]) -> D
     return hmf.groupBy(*keep, "bin").agg(F.avg(F.when(F.col("n") > 0, F.col("density"))).alias("mean_density"), F.avg("n").alias("mean_n"), F.countDistinct(realisation).alias("n_realisations"))
 
 
-def central_half_width(column: Column) -> Column:
-    """Half the width of the central 68.3 percent; null without values."""
-    return (F.percentile(column, 0.8415) - F.percentile(column, 0.1585)) / 2
+#: the shares between which the central 68.3 percent lie
+CENTRAL = (0.1585, 0.8415)
+
+
+def beside(one: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``one`` with those of ``other`` that have the same keys, null keys too."""
+    if not keys:
+        return one.join(other)
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    return one.alias("a").join(other.alias("b"), same, "left").select("a.*", *[f"b.{c}" for c in other.columns if c not in keys])
 
 
 def standard_error(column: Column) -> Column:
@@ -60,9 +70,11 @@ def standard_error(column: Column) -> Column:
 
 def binned(df: DataFrame, by: Column, edges: list[float], value: str, groups: list[str], closed: bool = False) -> DataFrame:
     """(groups, bin, n, median, mean, std, half_width, sem) of the values in each filled bin; std has no correction."""
-    v = F.col("_v")
-    rows = df.withColumns({"bin": bin_of(by, edges, closed), "_v": known(value)}).where("bin IS NOT NULL AND _v IS NOT NULL")
-    return rows.groupBy(*groups, "bin").agg(F.count("*").alias("n"), F.percentile(v, 0.5).alias("median"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), central_half_width(v).alias("half_width"), standard_error(v).alias("sem"))
+    v, keys = F.col("_v"), [*groups, "bin"]
+    rows = df.select(*groups, bin_of(by, edges, closed).alias("bin"), known(value).alias("_v")).where("bin IS NOT NULL AND _v IS NOT NULL")
+    plain = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), standard_error(v).alias("sem"))
+    middle = quantiles(rows, keys, "_v", {"median": 0.5, "_low": CENTRAL[0], "_high": CENTRAL[1]}).drop("n")
+    return beside(plain, middle, keys).select(*keys, "n", "median", "mean", "std", ((F.col("_high") - F.col("_low")) / 2).alias("half_width"), "sem")
 
 
 def log_median_by_mass(df: DataFrame, edges: list[float], value: str, groups: list[str], mass: str = "m200b") -> DataFrame:
@@ -113,11 +125,13 @@ def extents(df: DataFrame, groups: list[str], axes: tuple[str, ...] = ("x", "y",
 
 def calibration_summary(df: DataFrame, groups: list[str], mass: str) -> DataFrame:
     """(groups, n, n_known, known_share, mean_log, std_log, mean, median) of a mass column."""
-    m = F.when(finite(F.col(mass)) & (F.col(mass) > 0), F.col(mass))
-    return df.groupBy(*groups).agg(
+    rows = df.select(*groups, F.when(finite(F.col(mass)) & (F.col(mass) > 0), F.col(mass)).alias("_m"))
+    m = F.col("_m")
+    plain = rows.groupBy(*groups).agg(
         F.count("*").alias("n"), F.count(m).alias("n_known"), (F.count(m) / F.count("*")).alias("known_share"),
-        F.avg(F.log10(m)).alias("mean_log"), F.stddev_pop(F.log10(m)).alias("std_log"), F.avg(m).alias("mean"), F.percentile(m, 0.5).alias("median"),
+        F.avg(F.log10(m)).alias("mean_log"), F.stddev_pop(F.log10(m)).alias("std_log"), F.avg(m).alias("mean"),
     )
+    return beside(plain, quantiles(rows, groups, "_m", {"median": 0.5}).drop("n"), groups)
 
 
 def first_per_key(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
@@ -144,4 +158,7 @@ def covariances(df: DataFrame, groups: list[str], columns: list[str]) -> DataFra
     for c in columns:
         rows = rows.where(finite(F.col(c)))
     pairs = [F.covar_samp(a, b).alias(f"cov_{a}_{b}") for k, a in enumerate(columns) for b in columns[k:]]
-    return rows.groupBy(*groups).agg(F.count("*").alias("n"), *[F.percentile(c, 0.5).alias(f"median_{c}") for c in columns], *pairs)
+    out = rows.groupBy(*groups).agg(F.count("*").alias("n"), *pairs)
+    for c in columns:
+        out = beside(out, quantiles(rows, groups, c, {f"median_{c}": 0.5}).drop("n"), groups)
+    return out

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from skylattice.functions import cosmology as C
 from skylattice.operators import environment, fields, filters, grid, matching, ranks, regions, stats, tails
 from skylattice.plans.views import DESCRIBED_SQL, HIGH_SQL, LOW_SQL, box_sides, described, high, low
-from skylattice.runtime import table
+from skylattice.runtime import stage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -147,8 +147,13 @@ _CORNERS = f"""
 """
 
 
+def _deposit(halos: DataFrame, n: int, *mass: str) -> DataFrame:
+    """The deposit as a table, since its mean, its spaces and itself are all asked for."""
+    return stage(grid.cloud_in_cell(halos, n, *mass), "deposit")
+
+
 def _delta(halos: DataFrame, n: int) -> DataFrame:
-    return grid.full_grid(grid.overdensity(grid.cloud_in_cell(halos, n), n), n, -1.0)
+    return grid.full_grid(grid.overdensity(_deposit(halos, n), n), n, -1.0)
 
 
 @grid_query(H + _CORNERS + "SELECT space, i, j, k, round(v / 1e10, 5) + 0.0 AS mass FROM dep WHERE v IS NOT NULL")
@@ -181,12 +186,12 @@ def a6_nearest_cell(halos, n):
 
 @grid_query(H + _CORNERS + f", md AS (SELECT space, i, j, k, v / (sum(v) OVER (PARTITION BY space) / {N**3}) - 1 AS v FROM dep WHERE v IS NOT NULL) SELECT space, i, j, k, round(v, 6) AS delta FROM md")
 def a7_mass_overdensity(halos, n):
-    return grid.overdensity(grid.cloud_in_cell(halos, n, "m200b"), n).select("space", "i", "j", "k", r("v").alias("delta"))
+    return grid.overdensity(_deposit(halos, n, "m200b"), n).select("space", "i", "j", "k", r("v").alias("delta"))
 
 
 @grid_query(H + _CORNERS + "SELECT id, round(sum(w * f.v), 6) AS delta FROM c JOIN filled f ON f.space = c.box AND f.i = c.i AND f.j = c.j AND f.k = c.k GROUP BY 1")
 def j10_trilinear(halos, n):
-    return grid.trilinear(halos, grid.overdensity(grid.cloud_in_cell(halos, n), n), n, empty=-1.0).select("id", r("v").alias("delta"))
+    return grid.trilinear(halos, grid.overdensity(_deposit(halos, n), n), n, empty=-1.0).select("id", r("v").alias("delta"))
 
 
 # joins
@@ -293,7 +298,8 @@ hmf AS (SELECT v.run_id, b.bin, {_EDGES_SQL}[b.bin + 1] AS lo, {_EDGES_SQL}[b.bi
 
 
 def _hmf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.mass_function(_volumes(high(spark, sf_dir)), MASS_EDGES, ["run_id"], volume=F.col("volume"))
+    halos = stage(high(spark, sf_dir).select("run_id", "box", "side", "m200b"), "halos")
+    return stats.mass_function(_volumes(halos), MASS_EDGES, ["run_id"], volume=F.col("volume"))
 
 
 @query(H + _HMF + "SELECT run_id, bin, round((lo + hi) / 2 / 1e9, 6) AS center, n, round(density, 12) AS density FROM hmf")
@@ -309,12 +315,13 @@ def a10_log_mass_function(spark, sf_dir):
 @query(HL + f", a AS (SELECT {_bin_sql('m200b', _EDGES_SQL, 12)} AS bin, count(*) AS n FROM hr GROUP BY 1), b AS (SELECT {_bin_sql('m200b', _EDGES_SQL, 12)} AS bin, count(*) AS n FROM lr GROUP BY 1), c AS (SELECT unnest(range(12))::INTEGER AS bin) SELECT c.bin, coalesce(a.n, 0) AS high, coalesce(b.n, 0) AS low FROM c LEFT JOIN a USING (bin) LEFT JOIN b ON b.bin = c.bin")
 def a11_mass_functions_side_by_side(spark, sf_dir):
     both = high(spark, sf_dir).select(F.lit("high").alias("catalog"), "m200b").unionByName(low(spark, sf_dir).select(F.lit("low").alias("catalog"), "m200b"))
+    both = stage(both, "halos")
     return stats.pivoted(stats.mass_function(both, MASS_EDGES, ["catalog"]), "catalog", ["high", "low"], "n")
 
 
 @query(H + f", n AS (SELECT box, max(side) AS side, {_bin_sql('m200b', _EDGES_SQL, 12)} AS bin, count(*) AS n FROM hr GROUP BY box, 3), s AS (SELECT box, max(side) AS side FROM hr GROUP BY 1), c AS (SELECT unnest(range(12))::INTEGER AS bin), e AS (SELECT s.box, s.side, c.bin, coalesce(n.n, 0) AS n FROM s CROSS JOIN c LEFT JOIN n ON n.box = s.box AND n.bin = c.bin) SELECT bin, round(avg(CASE WHEN n > 0 THEN n / side ** 3 END), 10) AS mean_density, round(avg(n), 6) AS mean_n, count(DISTINCT box) AS n_realisations FROM e GROUP BY 1")
 def a12_mean_of_boxes(spark, sf_dir):
-    hmf = stats.mass_function(high(spark, sf_dir), MASS_EDGES, ["box"], volume=F.pow(F.col("side"), F.lit(3)))
+    hmf = stats.mass_function(stage(high(spark, sf_dir).select("box", "side", "m200b"), "halos"), MASS_EDGES, ["box"], volume=F.pow(F.col("side"), F.lit(3)))
     return stats.mean_of_realisations(hmf, "box", []).select("bin", r("mean_density", 10).alias("mean_density"), r("mean_n").alias("mean_n"), "n_realisations")
 
 

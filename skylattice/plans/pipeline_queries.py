@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from skylattice.operators.compaction import RECORD_KEY, consolidate, deliver, descriptor_records
 from skylattice.operators.hierarchy import descendants, hierarchy, sent_descendants
-from skylattice.operators.regions import near_counts, near_pairs
+from skylattice.operators.regions import near_counts, near_pairs, regions_of_points
 from skylattice.operators.rejects import load_halo_lines
+from skylattice.plans.views import HIGH_SQL, box_sides, high
 from skylattice.runtime import table
 
 
@@ -92,7 +93,19 @@ def p6_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_counts(points, near_pairs(points, "halo_id", "box_id"), "halo_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_hierarchy, p2_descendants, p2_whole_hierarchy, p2_all_descendants, p3_found, p3_valid, p4_found, p4_files, p4_all_records, p4_delivered, p6_found, p6_counts)}
+def p6_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The region of its box, seen along z, in which each halo lies: every cell of a grid of four a side is an L and the square that it leaves out."""
+    halos = high(spark, sf_dir).where("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL").select(F.col("id").alias("halo_id"), "box", "x", "y", "side")
+    four = F.explode(F.sequence(F.lit(0), F.lit(3)))
+    cells = box_sides(halos).select("space", (F.col("side") / 4).alias("c"), four.alias("i")).select("*", four.alias("j"))
+    corner = lambda axis, half: F.col(axis) * F.col("c") + (F.col("c") * half)
+    shape = lambda part, xs, ys: F.struct(F.lit(part).alias("part"), F.array(*[corner("i", v) for v in xs]).alias("xs"), F.array(*[corner("j", v) for v in ys]).alias("ys"))
+    both = F.array(shape(0, (0, 1, 1, 0.5, 0.5, 0), (0, 0, 0.5, 0.5, 1, 1)), shape(1, (0.5, 1, 1, 0.5), (0.5, 0.5, 1, 1)))
+    regions = cells.select(F.col("space").alias("box"), "i", "j", F.explode(both).alias("s")).select("box", (((F.col("box").cast("long") * 4 + F.col("i")) * 4 + F.col("j")) * 2 + F.col("s.part")).alias("region_id"), "s.xs", "s.ys")
+    return regions_of_points(halos, regions, "halo_id", "region_id", one_region=True, space="box")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_hierarchy, p2_descendants, p2_whole_hierarchy, p2_all_descendants, p3_found, p3_valid, p4_found, p4_files, p4_all_records, p4_delivered, p6_found, p6_counts, p6_regions)}
 
 _TREE = """
 WITH RECURSIVE n AS (
@@ -156,5 +169,6 @@ ORACLE = {
     "p4_all_records": f"{_RECORDS} SELECT * FROM k",
     "p4_delivered": f"{_RECORDS} SELECT DISTINCT * FROM k",
     "p6_found": f"{_PAIRS} SELECT halo_id_a, halo_id_b FROM pairs",
+    "p6_regions": f"WITH {HIGH_SQL}, q AS (SELECT id AS halo_id, box, x, y, side / 4 AS c FROM hr WHERE x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL), g AS (SELECT unnest(range(4)) AS i), m AS (SELECT q.*, a.i, b.i AS j, x <= a.i * c + c * 0.5 OR y <= b.i * c + c * 0.5 AS in_l, x >= a.i * c + c * 0.5 AND y >= b.i * c + c * 0.5 AS in_square FROM q JOIN g a ON x >= a.i * c AND x <= a.i * c + c JOIN g b ON y >= b.i * c AND y <= b.i * c + c) SELECT halo_id, min(((box * 4 + i) * 4 + j) * 2 + CASE WHEN in_l THEN 0 ELSE 1 END)::BIGINT AS region_id FROM m WHERE in_l OR in_square GROUP BY 1",
     "p6_counts": f"{_PAIRS}, ends AS (SELECT halo_id_a AS halo_id FROM pairs UNION ALL SELECT halo_id_b FROM pairs) SELECT i.halo_id, count(e.halo_id) AS n_near FROM (SELECT DISTINCT halo_id FROM hr_halos) i LEFT JOIN ends e USING (halo_id) GROUP BY 1",
 }

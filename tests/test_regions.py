@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from skylattice.operators.regions import ear_clip, near_counts, near_pairs, regions_of_points
+from skylattice.operators.regions import ear_clip, near_counts, near_pairs, polygon_errors, regions_of_points
 
 
 def area(x, y, t):
@@ -28,6 +29,16 @@ def test_points_in_polygons(spark):
     assert got == {(1, 1), (3, 1), (3, 2), (4, 2), (5, 1)}
     one = {(r.pid, r.rid) for r in regions_of_points(points, polygons, "pid", "rid", 3.0, one_region=True, tile_points=1).collect()}
     assert one == {(1, 1), (3, 1), (4, 2), (5, 1)}
+    # a polygon that crosses itself is an error row, not the end of the job
+    bad = spark.createDataFrame([(9, [0.0, 4.0, 4.0, 0.0], [0.0, 4.0, 0.0, 4.0]), (10, [0.0, 1.0], [0.0, 1.0]), (11, [0.0, 1.0, float("nan")], [0.0, 0.0, 1.0])], "rid long, xs array<double>, ys array<double>")
+    every = polygons.unionByName(bad)
+    errors = {r.rid: r.error for r in polygon_errors(every, "rid").collect()}
+    assert set(errors) == {3, 9, 10, 11} and errors[3] == "no corners" and errors[10] == "no area"
+    assert {(r.pid, r.rid) for r in regions_of_points(points, every, "pid", "rid").collect()} == got
+    # the same in two planes, which do not see each other
+    planes = lambda df, ids: df.withColumn("plane", F.lit(0)).unionByName(df.withColumn("plane", F.lit(1)).withColumn(ids, F.col(ids) + 100))
+    two = {(r.pid, r.rid) for r in regions_of_points(planes(points, "pid"), planes(polygons, "rid"), "pid", "rid", space="plane").collect()}
+    assert two == got | {(a + 100, b + 100) for a, b in got}
 
 
 @pytest.mark.parametrize("side,reach,tile", [(10.0, 2.0, 2000), (10.0, 2.0, 3), (5.0, 2.4, 3), (3.0, 2.0, 5)])
