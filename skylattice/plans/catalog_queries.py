@@ -12,6 +12,7 @@ from skylattice.functions import cosmology as C
 from skylattice.operators import environment, fields, filters, grid, matching, ranks, regions, stats, tails
 from skylattice.plans.views import DESCRIBED_SQL, HIGH_SQL, LOW_SQL, box_sides, described, high, low
 from skylattice.runtime import stage, table
+from skylattice.sources import catalogs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -70,6 +71,25 @@ def r(column, digits: int = 6):
     return F.round(column, digits)
 
 
+# sources
+
+
+@query(r"""WITH t AS (SELECT line_id, trim(regexp_replace(raw_line, '\s+', ' ', 'g')) AS t FROM halo_lines WHERE file_kind = 'list'), v AS (SELECT line_id, string_split(t, ' ') AS v FROM t WHERE t <> '' AND NOT starts_with(t, '#'))
+SELECT line_id, try_cast(v[2] AS BIGINT) AS id, try_cast(v[6] AS BIGINT) AS pid, try_cast(v[18] AS DOUBLE) AS x, try_cast(v[19] AS DOUBLE) AS y, try_cast(v[20] AS DOUBLE) AS z, try_cast(v[40] AS DOUBLE) AS m200b FROM v""")
+def s1_list_rows(spark, sf_dir):
+    lines = table(spark, sf_dir, "halo_lines").where("file_kind = 'list'").select("line_id", F.col("raw_line").alias("value"))
+    columns = {c: catalogs.LAYOUTS["hlist"][c] for c in ("id", "pid", "x", "y", "z", "m200b")}
+    return catalogs.text_rows(lines, columns)
+
+
+_SAYS = r"max(try_cast(regexp_extract(lower(raw_line), '(?:^|[#;])\s*(?:{})\s*=\s*([-+0-9.e]+)', 1) AS DOUBLE))"
+
+
+@query(f"SELECT run_id, file_name, {_SAYS.format('om|omega[ _]m[^=;]*')} AS om, {_SAYS.format('ol|omega[ _]l[^=;]*')} AS ol, {_SAYS.format('h|h0')} AS h FROM halo_lines WHERE starts_with(raw_line, '#') GROUP BY ALL")
+def s9_header_cosmology(spark, sf_dir):
+    return catalogs.header_cosmology(table(spark, sf_dir, "halo_lines"), key=("run_id", "file_name"))
+
+
 # filters and expressions
 
 
@@ -83,6 +103,11 @@ def f4_mass_range(spark, sf_dir):
     return filters.mass_range(filters.min_mass(filters.positive_mass(high(spark, sf_dir)), 1e10), 1e11, 1e13).select("id", "m200b")
 
 
+@query(H + "SELECT id, m200b FROM hr WHERE m200b >= 1e12")
+def f3_min_mass(spark, sf_dir):
+    return filters.min_mass(high(spark, sf_dir), 1e12).select("id", "m200b")
+
+
 @query(D + "SELECT descriptor_halo_id, batch_day::VARCHAR AS batch_day FROM ds WHERE tidal_anisotropy IS NOT NULL AND overdensity IS NOT NULL")
 def f5_finite_features(spark, sf_dir):
     return filters.finite_features(described(spark, sf_dir), ["tidal_anisotropy", "overdensity"]).select("descriptor_halo_id", _day())
@@ -468,6 +493,18 @@ def m9_tidal_tensor(halos, n, scales=(10.0,)):
     return got.select("space", "scale", "i", "j", "k", *[(r(F.col(c).cast("double"), 4) + 0.0).alias(c) for c in environment.COMPONENTS])
 
 
+def _tensor_sql(scale: float) -> str:
+    parts = {n: _back(f"(CASE WHEN k2 > 0 THEN k{a} * k{b} / k2 ELSE 0 END) * exp(-k2 * {scale * scale / 2})") for a, b, n in (("x", "x", "00"), ("x", "y", "01"), ("x", "z", "02"), ("y", "y", "11"), ("y", "z", "12"), ("z", "z", "22"))}
+    return f"SELECT c.space, {scale}::DOUBLE AS scale, c.i, c.j, c.k, " + ", ".join(f"round(({v})::DOUBLE, 4) + 0.0 AS t{n}" for n, v in parts.items()) + " FROM cube c JOIN f2 USING (space) GROUP BY c.space, c.i, c.j, c.k"
+
+
+@query(H + _CORNERS + _DFT + _tensor_sql(8.0) + " UNION ALL " + _tensor_sql(14.0))
+def m10_tensors_at_two_scales(spark, sf_dir):
+    halos = high(spark, sf_dir)
+    got = fields.tidal_tensors(_delta(halos, N), box_sides(halos), N, [8.0, 14.0], kind="double")
+    return got.select("space", "scale", "i", "j", "k", *[(r(F.col(c).cast("double"), 4) + 0.0).alias(c) for c in environment.COMPONENTS])
+
+
 @query(H + """, q AS (SELECT id, cv AS t00, spin AS t01, ca AS t02, ba AS t11, spin * 2 AS t12, ca * ba AS t22 FROM hr WHERE cv IS NOT NULL AND spin IS NOT NULL AND ca IS NOT NULL AND ba IS NOT NULL),
 p AS (SELECT *, (t00 + t11 + t22) / 3 AS q, t01 * t01 + t02 * t02 + t12 * t12 AS off FROM q), s AS (SELECT *, sqrt(((t00 - q) ** 2 + (t11 - q) ** 2 + (t22 - q) ** 2 + 2 * off) / 6) AS p FROM p),
 h AS (SELECT *, ((t00 - q) * ((t11 - q) * (t22 - q) - t12 * t12) - t01 * (t01 * (t22 - q) - t12 * t02) + t02 * (t01 * t12 - (t11 - q) * t02)) / (2 * p * p * p) AS half FROM s),

@@ -9,6 +9,7 @@ from skylattice.functions.cosmology import linear_grid
 from skylattice.operators import conditional, regions
 from skylattice.operators.calibration import Calibration, calibrate
 from skylattice.operators.stats import calibration_summary
+from skylattice.plans.catalog_queries import HL, _abundance_sql
 from skylattice.plans.views import high, low
 from skylattice.runtime import stage
 
@@ -39,7 +40,7 @@ def l6_hold_out(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _calibrated(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
-    return calibrate(low(spark, sf_dir), high(spark, sf_dir), Calibration(method, trees=20, depth=6))
+    return calibrate(low(spark, sf_dir), high(spark, sf_dir), Calibration(method))
 
 
 def l7_calibrations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +48,10 @@ def l7_calibrations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def l7_abundance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _calibrated(spark, sf_dir, "abundance").select("id", F.round(F.log10("m200b_cal"), 6).alias("log_mass"), "mass_calib_method")
+
+
 def l10_matching_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _calibrated(spark, sf_dir, "matching_ml").select("id", "m200b_cal", "p_keep")
 
@@ -55,6 +60,7 @@ def l13_compare_calibrations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calibration_summary(l7_calibrations(spark, sf_dir), ["mass_calib_method"], "m200b_cal").drop("mean")
 
 
-QUERIES = {f.__name__: f for f in (l1_fit, l5_enrich, l6_hold_out, l7_calibrations, l10_matching_model)}
+QUERIES = {f.__name__: f for f in (l1_fit, l5_enrich, l6_hold_out, l7_calibrations, l7_abundance, l10_matching_model)}
 QUERIES["l13_compare_calibrations"] = l13_compare_calibrations
-ORACLE: dict[str, str] = {}
+_TABLES, _CHOSEN = _abundance_sql(1.0).split("\nSELECT ", 1)
+ORACLE: dict[str, str] = {"l7_abundance": f"{HL}{_TABLES}, ab AS (SELECT {_CHOSEN}) SELECT lr.id, ab.log_mass, 'abundance' AS mass_calib_method FROM lr LEFT JOIN ab ON ab.id = lr.id"}
