@@ -39,7 +39,7 @@ def average_ranks(df: DataFrame, groups: list[str], value: str, into: str = "ran
     """
     known = F.when(~F.isnan(value), F.col(value))
     counted = df.withColumn("_v", known).where("_v IS NOT NULL").groupBy(*groups, "_v").agg(F.count("*").alias("_c"))
-    numbered = _running(counted, groups, "_v", "_c", "_upto")
+    numbered = running(counted, groups, "_v", "_c", "_upto")
     ranks = numbered.select(*groups, "_v", (F.col("_upto") - (F.col("_c") - 1) / 2).alias(into))
     same = F.col("a._v") == F.col("b._v")
     for g in groups:
@@ -69,7 +69,7 @@ def quantiles(df: DataFrame, groups: list[str], value: str, shares: dict[str, fl
     return found.select(*groups, "n", *mixed)
 
 
-def _running(df: DataFrame, groups: list[str], order: str, amount: str, into: str) -> DataFrame:
+def running(df: DataFrame, groups: list[str], order: str, amount: str, into: str) -> DataFrame:
     """Running sums along ``order`` in each group, by range partitions with offsets."""
     ordered = [F.asc_nulls_first(g) for g in groups] + [F.col(order)]
     parts = stage(df.repartitionByRange(*ordered).withColumn("_part", F.spark_partition_id()), "ranges")

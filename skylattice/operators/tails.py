@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skylattice.operators.ranks import average_ranks, row_numbers
+from skylattice.operators.ranks import row_numbers, running
 from skylattice.operators.stats import standard_error
 from skylattice.runtime import finite
 
@@ -17,6 +17,12 @@ def _known(df: DataFrame, properties: list[str]) -> DataFrame:
     return df.where(reduce(operator.and_, [finite(F.col(p)) for p in properties]))
 
 
+def _long(df: DataFrame, keep: list[str], properties: list[str]) -> DataFrame:
+    """(keep, _q, _v): one row for each property and value."""
+    each = F.explode(F.array(*[F.struct(F.lit(q).alias("_q"), F.col(q).cast("double").alias("_v")) for q in properties])).alias("_each")
+    return df.select(*keep, each).select(*keep, "_each.*")
+
+
 def joint_percentile(df: DataFrame, groups: list[str], properties: list[str], id_: str, share: float = 0.25) -> DataFrame:
     """(groups, n, p): the lowest percentile below which, in every property at once, the share of rows lies.
 
@@ -25,12 +31,11 @@ def joint_percentile(df: DataFrame, groups: list[str], properties: list[str], id
     unknown property are left out; equal values share their highest rank; a group
     of one row has the lowest percentile.
     """
-    rows = _known(df, properties).select(*groups, id_, *properties)
-    for k, p in enumerate(properties):
-        rows = average_ranks(rows, groups, p, f"_r{k}")
-        ties = rows.groupBy(*groups, p).agg((F.count("*") - 1).alias(f"_t{k}"))
-        rows = rows.join(ties, [*groups, p]).withColumn(f"_r{k}", F.col(f"_r{k}") + F.col(f"_t{k}") / 2 - 1)
-    deep = rows.withColumn("_m", F.greatest(*[F.col(f"_r{k}") for k in range(len(properties))]) if len(properties) > 1 else F.col("_r0"))
+    rows = _long(_known(df, properties), [*groups, id_], properties)
+    # one sort for all properties: the highest rank of a value is the number of values up to it
+    counted = rows.groupBy(*groups, "_q", "_v").agg(F.count("*").alias("_c"))
+    upto = running(counted, [*groups, "_q"], "_v", "_c", "_upto").select(*groups, "_q", "_v", "_upto")
+    deep = rows.join(upto, [*groups, "_q", "_v"]).groupBy(*groups, id_).agg((F.max("_upto") - 1).alias("_m"))
     ranked = row_numbers(deep.select(*groups, id_, "_m"), groups, [F.asc("_m"), F.asc(id_)], "_k")
     sizes = ranked.groupBy(*groups).agg(F.count("*").alias("n"))
     at = ranked.join(sizes, groups).where(F.col("_k") == F.ceil(F.col("n") * share))
@@ -43,16 +48,14 @@ def tail_limits(df: DataFrame, groups: list[str], properties: list[str], solved:
 
     The rows beside each limit are found by rank, so no group's values are gathered.
     """
-    out = solved.select(*groups, "p", "n")
-    for q in properties:
-        numbered = row_numbers(_known(df, properties).select(*groups, q), groups, [F.asc(q)], "_k").select(*groups, "_k", q)
-        for name, pct in (("low", F.col("p")), ("high", 100 - F.col("p"))):
-            out = out.withColumn("_x", F.round(pct / 100 * (F.col("n") - 1) + 1, 9)).withColumn("_k", F.floor("_x"))
-            lower = numbered.withColumnRenamed(q, "_v0")
-            upper = numbered.select(*groups, (F.col("_k") - 1).alias("_k"), F.col(q).alias("_v1"))
-            out = out.join(lower, [*groups, "_k"], "left").join(upper, [*groups, "_k"], "left")
-            out = out.withColumn(f"{name}_{q}", F.col("_v0") + F.coalesce((F.col("_x") - F.col("_k")) * (F.col("_v1") - F.col("_v0")), F.lit(0.0))).drop("_k", "_x", "_v0", "_v1")
-    return out
+    values = _long(_known(df, properties), groups, properties)
+    numbered = row_numbers(values, [*groups, "_q"], [F.asc("_v")], "_k")
+    met = numbered.join(solved.select(*groups, "p", "n"), groups)
+    at = {name: F.round(pct / 100 * (F.col("n") - 1) + 1, 9) for name, pct in (("low", F.col("p")), ("high", 100 - F.col("p")))}
+    picked = [F.max(F.when((F.col("_q") == q) & (F.col("_k") == F.floor(x) + k), F.col("_v"))).alias(f"{name}_{q}_{k}") for q in properties for name, x in at.items() for k in (0, 1)]
+    found = met.groupBy(*groups, "p", "n").agg(*picked)
+    mixed = lambda q, name, x: F.col(f"{name}_{q}_0") + F.coalesce((x - F.floor(x)) * (F.col(f"{name}_{q}_1") - F.col(f"{name}_{q}_0")), F.lit(0.0))
+    return found.select(*groups, "p", "n", *[mixed(q, name, x).alias(f"{name}_{q}") for q in properties for name, x in at.items()])
 
 
 def in_tails(df: DataFrame, limits: DataFrame, groups: list[str], properties: list[str]) -> DataFrame:
