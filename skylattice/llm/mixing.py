@@ -157,6 +157,7 @@ def mixture(sized: DataFrame, id_: str, sources: list[Source], tokens: int | Non
         chosen = stage(_one_more_pass(left.where(fits), id_, room, blocks, seed + 10 * k), "mixed")
         used = {r.source: r.n for r in chosen.where("take").groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
         if not used:
+            decided.append(chosen)
             break
         decided.append(chosen.where("take"))
         room = {s: v - used.get(s, 0) for s, v in room.items()}

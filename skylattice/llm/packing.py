@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from skylattice.runtime import stage
 
 BLOCK_ITEMS = 20_000
+#: tasks that share the blocks of a round
+MOST_TASKS = 20_000
 LAYOUT = "pack_id int, container_id string, item_id long, start_token long, n_tokens long, capacity long, closed boolean"
 
 
@@ -60,8 +62,10 @@ def _packed(items: DataFrame, round_: int, block_items: int) -> DataFrame:
         names = np.array([f"{round_}-{group.block.iloc[0]}-{c}" for c in range(len(levels))], dtype=object)
         return group[["pack_id", "item_id", "start_token", "n_tokens", "capacity"]].assign(container_id=names[container], closed=levels[container] == capacity)[["pack_id", "container_id", "item_id", "start_token", "n_tokens", "capacity", "closed"]]
 
+    # a block is much work in few bytes: a task for each, where small partitions would be joined by their bytes
+    tasks = max(1, min(MOST_TASKS, many.agg(F.sum("blocks").alias("n")).first().n or 1))
     ordered = dealt.withColumn("order", F.xxhash64("start_token", "item_id")).select("pack_id", "block", "order", "item_id", "start_token", "n_tokens", "capacity")
-    return ordered.groupBy("pack_id", "block").applyInPandas(fill, LAYOUT)
+    return ordered.repartition(tasks, "pack_id", "block").groupBy("pack_id", "block").applyInPandas(fill, LAYOUT)
 
 
 def layout(items: DataFrame, id_: str, size: str, capacities: dict[int, int], block_items: int = BLOCK_ITEMS) -> DataFrame:
