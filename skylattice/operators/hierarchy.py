@@ -150,12 +150,12 @@ def hierarchy(df: DataFrame, node: str, parent: str, root_markers: tuple[int, ..
 PIECE = 100_000
 
 
-def sent_descendants(df: DataFrame, node: str, parent: str, root_markers: tuple[int, ...] = (-1,), rounds_per_stage: int = 4) -> DataFrame:
+def sent_descendants(df: DataFrame, node: str, parent: str, root_markers: tuple[int, ...] = (-1,), rounds_per_stage: int = 8) -> DataFrame:
     """(ancestor_id, descendant_id, distance): all descendants of each node, from the lists that the peel sends upwards.
 
     Every node sends its list, and itself, to its parent as soon as it is peeled;
-    the nodes of one stage of the peel are at most its rounds apart, so that many
-    steps pass the lists through it. Lists to a node on a closed loop or not in
+    the nodes of one stage of the peel are at most its rounds apart, so that at most
+    so many steps pass the lists through it. Lists to a node on a closed loop or not in
     the table fall away, so nodes on a loop have no rows, and the trees that hang
     on a loop have theirs. Input cases as in :func:`peel`.
     """
@@ -174,13 +174,13 @@ def sent_descendants(df: DataFrame, node: str, parent: str, root_markers: tuple[
         lists = nodes.select(F.col("id").alias("at"), F.col("id").alias("descendant_id"), F.lit(0).alias("distance"), own)
         if pairs is not None:
             lists = lists.unionByName(pairs)
-        passed = None
+        # a table for each step keeps the plans small
         for _ in range(rounds):
             piece = F.pmod(F.xxhash64("descendant_id"), F.col("parent_pieces")).alias("piece")
-            lists = lists.join(links, ["at", "piece"]).select(F.col("parent").alias("at"), "descendant_id", (F.col("distance") + 1).alias("distance"), piece)
-            passed = lists if passed is None else passed.unionByName(lists)
-        passed = stage(passed, "passed")
-        pairs = passed if pairs is None else pairs.unionByName(passed)
+            lists = stage(lists.join(links, ["at", "piece"]).select(F.col("parent").alias("at"), "descendant_id", (F.col("distance") + 1).alias("distance"), piece), "passed")
+            pairs = lists if pairs is None else pairs.unionByName(lists)
+            if lists.isEmpty():
+                break
     return pairs.select(F.col("at").alias("ancestor_id"), "descendant_id", F.col("distance").cast("int").alias("distance"))
 
 
