@@ -24,7 +24,7 @@ from skylattice.functions.cosmology import bin_of
 from skylattice.runtime import finite
 
 N_QUANTILES = 500
-#: weighted sums of properties that draws must not bring below a bound: none negative, ca <= ba <= 1
+# fixed values: weighted sums of properties that draws must not bring below a bound: none negative, ca <= ba <= 1
 CONSTRAINTS = (({"cv": 1}, 0), ({"spin": 1}, 0), ({"ca": 1}, 0), ({"ba": 1, "ca": -1}, 0), ({"ba": -1}, -1))
 
 

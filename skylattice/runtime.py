@@ -16,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as named in ``spark.checkpoint.dir``.
 
-    Where that setting is absent, a session in one process (tests, a laptop) gets a
+    Where that setting is absent, a session on one machine (tests, a laptop) gets a
     temporary folder; one on a cluster raises, as its machines share no such folder.
     """
     context = spark.sparkContext
@@ -26,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
             context.setCheckpointDir(named)
         return named
     if context.getCheckpointDir() is None:
-        if not context.master.startswith("local[") and context.master != "local":
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return context.getCheckpointDir()
