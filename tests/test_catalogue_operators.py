@@ -178,3 +178,17 @@ def test_environment(spark):
     desc = frame(spark, [(10, 20, 30, 2, 0.1), (10, 20, 30, 1, 0.42)], "cell_x int, cell_y int, cell_z int, b int, alpha double")
     h = frame(spark, [(1, 10, 20, 30), (2, 0, 0, 0)], "id long, cell_x int, cell_y int, cell_z int")
     assert {r.id: r.alpha for r in environment.attach_by_cell(h, desc, ["cell_x", "cell_y", "cell_z"], [F.col("b")], ["alpha"]).collect()} == {1: 0.42, 2: None}
+
+
+def test_quantiles_and_ranks_with_a_hot_group_and_value(spark):
+    # a group with most rows, most of them of one value; a null group; unknown values
+    rows = [(1, 5.0)] * 400 + [(1, float(k)) for k in range(100)] + [(None, 3.0), (None, 4.0), (2, None), (2, float("nan")), (3, 7.0)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    got = {r.g: (r.n, r.low, r.mid) for r in ranks.quantiles(df, ["g"], "v", {"low": 0.1, "mid": 0.5}).collect()}
+    hot = np.array([v for g, v in rows if g == 1])
+    assert got == {1: (500, np.quantile(hot, 0.1), 5.0), None: (2, pytest.approx(3.1), 3.5), 3: (1, 7.0, 7.0)}
+    whole = ranks.quantiles(df, [], "v", {"mid": 0.5}).first()
+    assert (whole.n, whole.mid) == (503, 5.0)
+    assert ranks.quantiles(df.limit(0), ["g"], "v", {"mid": 0.5}).count() == 0
+    ranked = {(r.g, r.v): r["rank"] for r in ranks.average_ranks(df, ["g"], "v").collect() if r.v == r.v}
+    assert ranked[(1, 5.0)] == np.mean([k + 1 for k, v in enumerate(np.sort(hot)) if v == 5.0]) and ranked[(3, 7.0)] == 1 and ranked[(2, None)] is None
