@@ -7,8 +7,13 @@ infinite coordinate are left out, positions outside the box are folded into it.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skylattice.runtime import finite
 
@@ -81,13 +86,71 @@ def overdensity_expected(grid: DataFrame, expected: DataFrame) -> DataFrame:
     return grid.join(expected, "space").select("space", *CELL, (F.try_divide("v", "expected") - 1).alias("v"))
 
 
+def in_runs(rows: DataFrame, n: int, keys: list[str], order: list[str], tasks: int) -> DataFrame:
+    """Rows of one key in one task and in one run. Where whole grids of many cells come of few rows there are ``tasks`` tasks, which AQE, seeing few bytes, would join."""
+    many = [max(tasks, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))] if n >= 32 else []
+    return rows.repartition(*many, *keys).sortWithinPartitions(*order)
+
+
+def runs_of(*columns: np.ndarray) -> list[tuple[int, int]]:
+    """(from, to) of the runs of equal values."""
+    new = np.zeros(len(columns[0]), dtype=bool)
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    ends = [0, *np.flatnonzero(new).tolist(), len(new)]
+    return list(zip(ends, ends[1:], strict=False))
+
+
 def full_grid(grid: DataFrame, n: int, empty: float) -> DataFrame:
-    """All n^3 cells of each space, absent ones at ``empty``."""
-    cells = [F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(c) for c in CELL]
-    every = grid.select("space").distinct()
-    for c in cells:
-        every = every.select("*", c)
-    return every.join(grid, ["space", *CELL], "left").select("space", *CELL, F.coalesce("v", F.lit(float(empty))).alias("v"))
+    """All n^3 cells of each space, absent ones at ``empty``.
+
+    Only the cells given and a row for each plane are shuffled; a task makes the
+    other cells, a plane at a time.
+    """
+    inside = F.lit(True)
+    for c in CELL:
+        inside = inside & F.col(c).between(0, n - 1)
+    cells = grid.where(inside & F.col("v").isNotNull()).select("space", F.col("i").cast("int").alias("i"), (F.col("j") * n + F.col("k")).cast("int").alias("at"), F.col("v").cast("double").alias("v"))
+    planes = grid.select("space").distinct().select("space", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"), F.lit(None).cast("int").alias("at"), F.lit(None).cast("double").alias("v"))
+    rows = in_runs(cells.unionByName(planes), n, ["space", "i"], ["space", "i"], n**3 >> 16)
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plane, values = None, np.empty(0)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            space, i = batch["space"].to_numpy(zero_copy_only=False), batch["i"].to_numpy()
+            at, v = batch["at"].to_numpy(zero_copy_only=False), batch["v"].to_numpy(zero_copy_only=False)
+            for lo, hi in runs_of(space, i):
+                now = (batch["space"][lo], int(i[lo]))
+                if now != plane:
+                    if plane is not None:
+                        yield pencils(*plane, values)
+                    plane, values = now, np.full(n * n, float(empty))
+                some = at[lo:hi] == at[lo:hi]
+                values[at[lo:hi][some].astype(np.int64)] = v[lo:hi][some]
+        if plane is not None:
+            yield pencils(*plane, values)
+
+    return cells_of(rows.mapInArrow(fill, pencil_schema(grid)))
+
+
+def pencil_schema(grid: DataFrame) -> T.StructType:
+    """(space, i, j, v): the cells (i, j, 0 to n-1) of a grid as an array, which costs less between Python and Spark than n rows."""
+    whole = T.IntegerType()
+    return T.StructType([T.StructField("space", grid.schema["space"].dataType), T.StructField("i", whole, False), T.StructField("j", whole, False), T.StructField("v", T.ArrayType(T.DoubleType(), False), False)])
+
+
+def pencils(space: pa.Scalar, i: int, plane: np.ndarray) -> pa.RecordBatch:
+    """The pencils of the plane i."""
+    n = int(np.sqrt(plane.size) + 0.5)
+    v = pa.ListArray.from_arrays(pa.array(np.arange(0, n * n + 1, n, dtype=np.int32)), pa.array(plane.reshape(-1)))
+    return pa.RecordBatch.from_arrays([pa.repeat(space, n), pa.repeat(pa.scalar(i, pa.int32()), n), pa.array(np.arange(n, dtype=np.int32)), v], names=["space", "i", "j", "v"])
+
+
+def cells_of(pencil_rows: DataFrame) -> DataFrame:
+    """(space, i, j, k, v) of pencils."""
+    return pencil_rows.select("space", "i", "j", F.posexplode("v").alias("k", "v"))
 
 
 def trilinear(points: DataFrame, grid: DataFrame, n: int, id_: str = "id", empty: float = 0.0, space: str = "box", side: str = "side") -> DataFrame:

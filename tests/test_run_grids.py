@@ -1,5 +1,7 @@
 import numpy as np
+from pyspark.sql import functions as F
 
+from skylattice.operators import grid
 from skylattice.plans import catalog_queries as q
 
 GRIDS = {1: (4, 8.0), 2: (6, 12.0)}
@@ -60,3 +62,14 @@ def test_halos_read_their_own_grid(spark, tmp_path):
         low, part = np.floor(g).astype(int), g - np.floor(g)
         value = sum(np.prod(np.where(d, part, 1 - part)) * want[row[3]][tuple((low + d) % n)] for d in np.ndindex(2, 2, 2))
         assert abs(got[row[0]] - value) < 2e-6
+
+
+def test_full_grid_does_not_shuffle_the_cells_it_adds(spark):
+    given = spark.createDataFrame([(1, 0, 0, 0, 2.5), (1, 31, 5, 31, 0.5), (None, 3, 3, 3, 1.0), (2, 40, 0, 0, 9.0), (2, 1, 1, 1, None)], "space int, i int, j int, k int, v double")
+    got = grid.full_grid(given, 32, -1.0)
+    rows = got.where("v <> -1").collect()
+    assert {(r.space, r.i, r.j, r.k, r.v) for r in rows} == {(1, 0, 0, 0, 2.5), (1, 31, 5, 31, 0.5), (None, 3, 3, 3, 1.0)}
+    sizes = {r.space: (r["n"], r.cells) for r in got.groupBy("space").agg(F.count("*").alias("n"), F.countDistinct("i", "j", "k").alias("cells")).collect()}
+    assert sizes == {s: (32**3, 32**3) for s in (1, 2, None)}
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    assert grid.full_grid(given.limit(0), 32, -1.0).count() == 0
