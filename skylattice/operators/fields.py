@@ -3,7 +3,10 @@
 A transform of a cube is three passes along its axes. In each pass the grid is
 a table of pencils, arrays of n cells along one axis, which numpy transforms in
 Arrow batches; between passes the cells are regrouped along the next axis. No
-task holds more than its pencils, however large the cube.
+task holds more than its pencils, however large the cube. A cube of up to
+``CUBE`` cells along a side is transformed whole in one task, which then holds
+its half spectrum once or twice (135 MB each at 256); only its cells that
+are not at ``empty`` are shuffled.
 """
 
 from __future__ import annotations
@@ -12,14 +15,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skylattice.functions.cosmology import gaussian_window, wave_number
-from skylattice.operators.grid import trilinear
+from skylattice.operators.grid import cells_of, corner_shares, full_grid, in_runs, pencil_schema, pencils, placed, runs_of, trilinear
 from skylattice.runtime import stage
 
 AXES = ("i", "j", "k")
+CUBE = 256
 
 
 def _kind(df: DataFrame, column: str) -> str:
@@ -92,7 +97,84 @@ def tidal_tensors(delta: DataFrame, sides: DataFrame, n: int, scales: list[float
     return wide if physical else wide.withColumns({"t02": F.col("t11"), "t11": F.col("t02")})
 
 
-def smoothed(delta: DataFrame, sides: DataFrame, n: int, scale: float | None) -> DataFrame:
+def _cells(delta: DataFrame, sides: DataFrame, n: int, wanted: DataFrame | None = None) -> DataFrame:
+    """(space, side, at, v) in runs of a space: the cells of the grids, and the cells wanted with a null v."""
+    at = ((F.col("i") * n + F.col("j")) * n + F.col("k")).cast("int").alias("at")
+    rows = delta.where("v IS NOT NULL").select("space", at, F.col("v").cast("double").alias("v"))
+    if wanted is not None:
+        rows = rows.unionByName(wanted.select("space", at, F.lit(None).cast("double").alias("v")))
+    return in_runs(rows.join(sides, "space").select("space", F.col("side").cast("double").alias("side"), "at", "v"), n, ["space"], ["space"], n)
+
+
+def _cubes(batches: Iterator[pa.RecordBatch], n: int, empty: float, k_max: float | None = None) -> Iterator[tuple[pa.Scalar, float, np.ndarray, np.ndarray]]:
+    """(space, side, half spectrum, cells wanted) of each cube; with ``k_max`` of its last axis only the indices up to that wave number."""
+    space, side, cube, wanted = None, 0.0, None, []
+
+    def spectrum_of() -> np.ndarray:
+        m = n // 2 + 1 if k_max is None else min(n // 2, int(k_max * side / (2 * np.pi)) + 1) + 1
+        out = np.empty((n, n, m), dtype=complex)
+        for i in range(n):
+            out[i] = np.fft.fft(np.fft.rfft(cube[i * n * n : (i + 1) * n * n].reshape(n, n))[:, :m], axis=0)
+        _along_i(out, np.fft.fft)
+        return out
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        names, at, v, sides = batch["space"].to_numpy(zero_copy_only=False), batch["at"].to_numpy(), batch["v"].to_numpy(zero_copy_only=False), batch["side"].to_numpy()
+        for lo, hi in runs_of(names):
+            if cube is None or batch["space"][lo] != space:
+                if cube is not None:
+                    spec = spectrum_of()
+                    cube = None
+                    yield space, side, spec, np.concatenate(wanted)
+                    spec = None
+                space, side, cube, wanted = batch["space"][lo], float(sides[lo]), np.full(n**3, float(empty)), []
+            has = v[lo:hi] == v[lo:hi]
+            cube[at[lo:hi][has]] = v[lo:hi][has]
+            wanted.append(at[lo:hi][~has])
+    if cube is not None:
+        spec = spectrum_of()
+        cube = None
+        yield space, side, spec, np.concatenate(wanted)
+
+
+def _along_i(spec: np.ndarray, transform) -> None:
+    """Transform along the first axis in place, a few j at a time."""
+    for j in range(0, spec.shape[1], 8):
+        spec[:, j : j + 8] = transform(spec[:, j : j + 8], axis=0)
+
+
+def _numbers(n: int, side: float) -> np.ndarray:
+    """Wave numbers of the indices, the Nyquist index of an even n as negative."""
+    return 2 * np.pi * np.fft.fftfreq(n, side / n)
+
+
+def _rounded(v: np.ndarray, digits: int | None) -> np.ndarray:
+    """``v`` to so many digits, without -0; values too large to have more stay."""
+    return v if digits is None else np.where(np.abs(v) < 2**52 / 10**digits, np.rint(v * 10**digits) / 10**digits, v) + 0.0
+
+
+def smoothed(delta: DataFrame, sides: DataFrame, n: int, scale: float | None, empty: float = 0.0, digits: int | None = None) -> DataFrame:
+    """(space, i, j, k, v): the grid smoothed with a Gaussian window; absent cells are at ``empty``, ``digits`` rounds."""
+    if n > CUBE:
+        back = _smoothed_by_pencils(full_grid(delta, n, empty), sides, n, scale)
+        return back if digits is None else back.withColumn("v", F.round("v", digits) + 0.0)
+
+    def transform(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for space, side, spec, _ in _cubes(batches, n, empty):
+            w = np.exp(-0.5 * (_numbers(n, side) * max(scale or 0.0, 0.0)) ** 2)
+            spec *= w[:, None, None]
+            spec *= w[:, None] * w[: n // 2 + 1]
+            _along_i(spec, np.fft.ifft)
+            for i in range(n):
+                yield pencils(space, i, _rounded(np.fft.irfft(np.fft.ifft(spec[i], axis=0), n), digits))
+            del spec
+
+    return cells_of(_cells(delta, sides, n).mapInArrow(transform, pencil_schema(delta)))
+
+
+def _smoothed_by_pencils(delta: DataFrame, sides: DataFrame, n: int, scale: float | None) -> DataFrame:
     """(space, i, j, k, v): the grid smoothed with a Gaussian window."""
     waves = spectrum(delta, n).join(sides, "space")
     k = _waves(n, F.col("side"))
@@ -116,6 +198,33 @@ def bias_field(delta: DataFrame, sides: DataFrame, n: int, k_max: float) -> Data
     return back.select("space", *AXES, (F.col("re") * n**3).alias("v"))
 
 
-def halo_bias(halos: DataFrame, delta: DataFrame, sides: DataFrame, n: int, k_max: float) -> DataFrame:
-    """(id, v): the bias of each halo, read trilinearly off :func:`bias_field`."""
-    return trilinear(halos, bias_field(delta, sides, n, k_max), n)
+def halo_bias(halos: DataFrame, delta: DataFrame, sides: DataFrame, n: int, k_max: float, empty: float = 0.0) -> DataFrame:
+    """(id, v): the bias of each halo, read trilinearly off :func:`bias_field`; absent cells of ``delta`` are at ``empty``.
+
+    Of a cube made in one task, only the cells around halos leave it.
+    """
+    if n > CUBE:
+        return trilinear(halos, bias_field(full_grid(delta, n, empty), sides, n, k_max), n)
+    near = corner_shares(placed(halos).select(F.col("box").alias("space"), "x", "y", "z", "side"), n).select("space", *AXES).distinct()
+
+    def transform(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for space, side, spec, wanted in _cubes(batches, n, empty, k_max):
+            k = _numbers(n, side)
+            size = np.sqrt(k[:, None, None] ** 2 + k[:, None] ** 2 + k[: spec.shape[2]] ** 2)
+            spec /= n**3
+            power = np.maximum((spec.real**2 + spec.imag**2) * side**3, 1e-30)
+            spec *= np.where((size > 0) & (size <= k_max), 1 / power, 0.0)
+            del size, power
+            _along_i(spec, np.fft.ifft)
+            wanted = np.sort(wanted)
+            planes = wanted // n**2
+            for lo, hi in runs_of(planes):
+                if hi == lo:
+                    continue
+                plane = np.fft.irfft(np.fft.ifft(spec[planes[lo]], axis=0), n).reshape(-1) * n**3
+                at = wanted[lo:hi]
+                yield pa.RecordBatch.from_arrays([pa.repeat(space, hi - lo), *[pa.array((at // n**p % n).astype(np.int32)) for p in (2, 1, 0)], pa.array(plane[at % n**2])], names=["space", *AXES, "v"])
+            del spec
+
+    field = _cells(delta, sides, n, near).mapInArrow(transform, f"space {_kind(delta, 'space')}, i int, j int, k int, v double")
+    return trilinear(halos, field, n)

@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from skylattice.operators import grid
+from skylattice.operators import fields, grid
 from skylattice.plans import catalog_queries as q
 
 GRIDS = {1: (4, 8.0), 2: (6, 12.0)}
@@ -73,3 +73,22 @@ def test_full_grid_does_not_shuffle_the_cells_it_adds(spark):
     assert sizes == {s: (32**3, 32**3) for s in (1, 2, None)}
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
     assert grid.full_grid(given.limit(0), 32, -1.0).count() == 0
+
+
+def _sparse(spark, n, side):
+    v = np.where(np.random.default_rng(n).random((n, n, n)) < 0.2, np.random.default_rng(n).normal(size=(n, n, n)), -1.0)
+    rows = [(s, *map(int, at), float(v[tuple(at)])) for s in (1, 2) for at in np.argwhere(v != -1)]
+    k = 2 * np.pi * np.fft.fftfreq(n, side / n)
+    return v, spark.createDataFrame(rows, "space int, i int, j int, k int, v double"), spark.createDataFrame([(1, side), (2, side)], "space int, side double"), np.stack(np.meshgrid(k, k, k, indexing="ij"))
+
+
+def test_halo_bias_of_sparse_cells_equals_numpy(spark):
+    for n, k_max in ((6, 1.5), (7, 50.0)):
+        side = 10.0
+        v, delta, sides, k = _sparse(spark, n, side)
+        size, wave = np.sqrt((k**2).sum(axis=0)), np.fft.fftn(v) / n**3
+        kept = np.where((size > 0) & (size <= k_max), wave / np.maximum(np.abs(wave) ** 2 * side**3, 1e-30), 0)
+        want = np.fft.ifftn(kept).real * n**3
+        halos = spark.createDataFrame([(1, 1, side, *[c * side / n for c in (0.0, 1.0, 2.0)]), (2, 2, side, *[c * side / n for c in (n - 0.5, 3.0, 3.0)])], "id int, box int, side double, x double, y double, z double")
+        got = {r.id: r.v for r in fields.halo_bias(halos, delta, sides, n, k_max, empty=-1.0).collect()}
+        assert np.allclose([got[1], got[2]], [want[0, 1, 2], (want[n - 1, 3, 3] + want[0, 3, 3]) / 2])
