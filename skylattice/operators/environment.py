@@ -50,6 +50,16 @@ def at_cells(halos: DataFrame, tensors: DataFrame, scale: str, prefix: str) -> D
     return halos.join(t, ["space", scale, "i", "j", "k"])
 
 
+def _inside(halos: DataFrame, scales: list[float]) -> DataFrame:
+    lowest, highest = min(scales), max(scales)
+    return scale_brackets(halos.where((F.col("rg") > lowest) & (F.col("rg") < highest)), scales)
+
+
+def cells_read(halos: DataFrame, scales: list[float]) -> DataFrame:
+    """(space, scale, i, j, k): the cells and scales whose tensors :func:`descriptors` reads."""
+    return _inside(halos, scales).select("space", F.explode(F.array("s0", "s1")).alias("scale"), "i", "j", "k").distinct()
+
+
 def descriptors(halos: DataFrame, tensors: DataFrame, scales: list[float]) -> DataFrame:
     """``halos`` with tidal_anisotropy and overdensity at their own radius.
 
@@ -57,8 +67,7 @@ def descriptors(halos: DataFrame, tensors: DataFrame, scales: list[float]) -> Da
     The eigenvalues at the two tabulated scales around rg are interpolated. Halos
     whose radius is not strictly inside the table have no row.
     """
-    lowest, highest = min(scales), max(scales)
-    rows = scale_brackets(halos.where((F.col("rg") > lowest) & (F.col("rg") < highest)), scales)
+    rows = _inside(halos, scales)
     rows = at_cells(at_cells(rows, tensors, "s0", "_l0"), tensors, "s1", "_l1")
     lam = [linear_in_scale(F.get("_l0", F.lit(k)), F.get("_l1", F.lit(k)), F.col("s0"), F.col("s1"), F.col("rg")) for k in range(3)]
     alpha, delta = anisotropy(*lam)

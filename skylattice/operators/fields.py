@@ -25,6 +25,7 @@ from skylattice.runtime import stage
 
 AXES = ("i", "j", "k")
 CUBE = 256
+COMPONENTS = ("t00", "t01", "t02", "t11", "t12", "t22")
 
 
 def _kind(df: DataFrame, column: str) -> str:
@@ -174,6 +175,159 @@ def smoothed(delta: DataFrame, sides: DataFrame, n: int, scale: float | None, em
     return cells_of(_cells(delta, sides, n).mapInArrow(transform, pencil_schema(delta)))
 
 
+def _kernels(n: int, side: float, scale: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The smoothed tidal tensors t00 and t01 around one cell at 1, at offsets of 0 to n // 2 cells along each axis.
+
+    The others follow by exchanging axes. t00 is even along all axes, t01 odd
+    along the first two, but for a part, given last by its offset along the third,
+    that changes sign from cell to cell along the first two.
+    """
+    m = np.arange(n // 2 + 1)
+    k = 2 * np.pi * m / side
+    twice = np.where((m == 0) | (2 * m == n), 1.0, 2.0)
+    cos, sin = (f(2 * np.pi * np.outer(m, m) / n) * twice for f in (np.cos, np.sin))
+    k2 = k[:, None, None] ** 2 + k[:, None] ** 2 + k**2
+    k2[0, 0, 0] = 1.0
+    w = np.exp(-0.5 * (k * max(scale, 0.0)) ** 2)
+    base = w[:, None, None] * (w[:, None] * w) / k2 / n**3
+
+    def along(f: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+        f = (a @ f.reshape(len(m), -1)).reshape(f.shape)
+        return np.matmul(b, f) @ c.T
+
+    t00, t01 = along(base * (k**2)[:, None, None], cos, cos, cos), -along(base * np.outer(k, k)[:, :, None], sin, sin, cos)
+    # the waves at the Nyquist index along the first two axes are even
+    return t00, t01, cos @ (base[-1, -1] * k[-1] ** 2) if n % 2 == 0 else np.zeros(len(m))
+
+
+def _factors(n: int, side: float, scale: float, spec: np.ndarray) -> Iterator[np.ndarray]:
+    """The half spectra of the six components, one at a time."""
+    k = _numbers(n, side)
+    w, odd = np.exp(-0.5 * (k * max(scale, 0.0)) ** 2), k.copy()
+    nyquist = np.zeros(n)
+    if n % 2 == 0:  # a product of two axes has no real part where one of them alone is at its Nyquist index
+        odd[n // 2], nyquist[n // 2] = 0.0, k[n // 2]
+    m = spec.shape[2]
+    shaped = lambda x: (x[:, None, None], x[:, None], x[:m])
+    for a, b in ((0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2)):
+        out = np.empty_like(spec)
+        for i in range(n):
+            k2 = k[i] ** 2 + k[:, None] ** 2 + k[:m] ** 2
+            k2[k2 == 0] = 1.0
+            at = lambda x, axis: x[i] if axis == 0 else shaped(x)[axis]  # noqa: B023, E731
+            f = at(k, a) ** 2 if a == b else at(odd, a) * at(odd, b) + at(nyquist, a) * at(nyquist, b)
+            out[i] = spec[i] * (f * (w[i] * w[:, None] * w[:m] / k2))
+        yield out
+
+
+def _from_pairs(n: int, kernels: tuple[np.ndarray, np.ndarray, np.ndarray], at: np.ndarray, v: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The six components in the cells wanted: the kernels of all cells ``at``, times ``v``."""
+    t00, t01, even = (x.reshape(-1) for x in kernels)
+    m, out = n // 2 + 1, np.empty((6, len(wanted)))
+    step = max(1, 500_000 // max(1, len(at)))
+    for lo in range(0, len(wanted), step):
+        some, d, sign = wanted[lo : lo + step], [], []
+        for p in (2, 1, 0):
+            x = (some // n**p % n)[:, None] - at // n**p % n
+            far = np.abs(x)
+            sign.append(np.where((x > 0) == (2 * far <= n), 1.0, -1.0))
+            d.append(np.minimum(far, n - far))
+        for c, (a, b, rest) in enumerate(((0, 1, 2), (0, 1, 2), (0, 2, 1), (1, 0, 2), (1, 2, 0), (2, 0, 1))):
+            where = (d[a] * m + d[b]) * m + d[rest]
+            out[c, lo : lo + step] = (t00[where] if c in (0, 3, 5) else t01[where] * sign[a] * sign[b] + (1 - 2 * ((d[a] + d[b]) % 2)) * even[d[rest]]) @ v
+    return out
+
+
+def _half_spectrum(n: int, at: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The transform of a cube that is 0 but for the cells ``at``."""
+    cube = np.zeros(n**3)
+    cube[at] = v
+    spec = np.fft.rfft(cube.reshape(n, n, n))
+    del cube
+    for i in range(n):
+        spec[i] = np.fft.fft(spec[i], axis=0)
+    _along_i(spec, np.fft.fft)
+    return spec
+
+
+def _from_spectrum(n: int, side: float, scale: float, spec: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The six components in the cells wanted: the transform back, whose last axis is made for their pencils alone."""
+    i, j, k = (wanted // n**p % n for p in (2, 1, 0))
+    out = np.empty((6, len(wanted)))
+    for c, part in enumerate(_factors(n, side, scale, spec)):
+        _along_i(part, np.fft.ifft)
+        for plane in np.unique(i):
+            mine = np.flatnonzero(i == plane)
+            out[c, mine] = np.fft.irfft(np.fft.ifft(part[plane], axis=0)[j[mine]], n)[np.arange(len(mine)), k[mine]]
+    return out
+
+
+def tidal_tensors_at(wanted: DataFrame, delta: DataFrame, sides: DataFrame, n: int, scales: list[float], empty: float = 0.0, kind: str = "float") -> DataFrame:
+    """:func:`tidal_tensors` in the cells (space, scale, i, j, k) of ``wanted``; absent cells of ``delta`` are at ``empty``.
+
+    A task holds a few spaces of one side. Where cells given and cells wanted are
+    few the kernel of a scale is summed over their pairs; where they are many,
+    the cube is transformed for each scale.
+    """
+    if n > CUBE:
+        return tidal_tensors(full_grid(delta, n, empty), sides, n, scales, kind=kind).join(wanted.distinct(), ["space", "scale", *AXES], "left_semi")
+    cell = ((F.col("i") * n + F.col("j")) * n + F.col("k")).cast("int").alias("at")
+    # a constant has no tide, so the cells count by what they have above the absent ones
+    rows = delta.where("v IS NOT NULL").select("space", F.lit(None).cast("double").alias("scale"), cell, (F.col("v") - empty).cast("double").alias("v"))
+    rows = rows.unionByName(wanted.select("space", F.col("scale").cast("double").alias("scale"), cell, F.lit(None).cast("double").alias("v")).distinct())
+    rows = rows.join(sides, "space").select("space", F.col("side").cast("double").alias("side"), "scale", "at", "v", F.pmod(F.xxhash64("space"), F.lit(16)).alias("part"))
+
+    def solved(held: list[tuple], side: float) -> Iterator[pa.RecordBatch]:
+        """The tensors of the spaces held: (space, cells, values, scales of the cells wanted, cells wanted)."""
+        by_pairs = [len(wanted) * len(at) < len(np.unique(scale)) * n**3 for _, at, _, scale, wanted in held]
+        out: list[list] = [[] for _ in held]
+        for s in np.unique(np.concatenate([x[3] for x in held])):
+            kernels = None
+            for x, (_, at, v, scale, cells) in enumerate(held):
+                if by_pairs[x] and (scale == s).any():
+                    kernels = kernels or _kernels(n, side, float(s))
+                    out[x].append((s, cells[scale == s], _from_pairs(n, kernels, at, v, cells[scale == s])))
+        for x, (space, at, v, scale, cells) in enumerate(held):
+            if not by_pairs[x]:
+                spec = _half_spectrum(n, at, v)
+                out[x] = [(s, cells[scale == s], _from_spectrum(n, side, float(s), spec, cells[scale == s])) for s in np.unique(scale)]
+                del spec
+            for s, cells_, t in out[x]:
+                index = [pa.array((cells_ // n**p % n).astype(np.int32)) for p in (2, 1, 0)]
+                yield pa.RecordBatch.from_arrays([pa.repeat(space, len(cells_)), pa.repeat(pa.scalar(float(s)), len(cells_)), *index, *map(pa.array, t)], names=["space", "scale", *AXES, *COMPONENTS])
+
+    def transform(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, open_, at_side, space = [], [], None, None
+
+        def close() -> None:
+            if open_:
+                at, v, scale = (np.concatenate(c) for c in zip(*open_, strict=True))
+                given = v == v
+                held.append((space, at[given], v[given], scale[~given], at[~given]))
+                open_.clear()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names, side = batch["space"].to_numpy(zero_copy_only=False), batch["side"].to_numpy()
+            at, v, scale = batch["at"].to_numpy().astype(np.int64), batch["v"].to_numpy(zero_copy_only=False), batch["scale"].to_numpy(zero_copy_only=False)
+            for lo, hi in runs_of(side, names):
+                if batch["space"][lo] != space:
+                    close()
+                    if held and (side[lo] != at_side or sum(len(x[1]) + len(x[4]) for x in held) > 300_000):
+                        yield from solved(held, at_side)
+                        held = []
+                    space, at_side = batch["space"][lo], float(side[lo])
+                open_.append((at[lo:hi], v[lo:hi], scale[lo:hi]))
+        close()
+        if held:
+            yield from solved(held, at_side)
+
+    schema = f"space {_kind(delta, 'space')}, scale double, i int, j int, k int, " + ", ".join(f"{c} double" for c in COMPONENTS)
+    dealt = in_runs(rows, n, ["side", "part"], ["side", "space"], n).select("space", "side", "scale", "at", "v")
+    return dealt.mapInArrow(transform, schema).select("space", "scale", *AXES, *[F.col(c).cast(kind).alias(c) for c in COMPONENTS])
+
+
 def _smoothed_by_pencils(delta: DataFrame, sides: DataFrame, n: int, scale: float | None) -> DataFrame:
     """(space, i, j, k, v): the grid smoothed with a Gaussian window."""
     waves = spectrum(delta, n).join(sides, "space")

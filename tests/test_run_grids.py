@@ -92,3 +92,17 @@ def test_halo_bias_of_sparse_cells_equals_numpy(spark):
         halos = spark.createDataFrame([(1, 1, side, *[c * side / n for c in (0.0, 1.0, 2.0)]), (2, 2, side, *[c * side / n for c in (n - 0.5, 3.0, 3.0)])], "id int, box int, side double, x double, y double, z double")
         got = {r.id: r.v for r in fields.halo_bias(halos, delta, sides, n, k_max, empty=-1.0).collect()}
         assert np.allclose([got[1], got[2]], [want[0, 1, 2], (want[n - 1, 3, 3] + want[0, 3, 3]) / 2])
+
+
+def test_tensors_in_some_cells_equal_numpy(spark):
+    # the first has few cells wanted, so that pairs are summed, the second all, so that the cube is transformed
+    for n, every in ((6, 40), (7, 40), (6, 1), (7, 1)):
+        v, delta, sides, k = _sparse(spark, n, 10.0)
+        k2 = (k**2).sum(axis=0)
+        wanted = [(s, scale, *map(int, at)) for s in (1, 2) for scale in (0.5, 1.5) for at in list(np.ndindex(n, n, n))[::every]]
+        got = fields.tidal_tensors_at(spark.createDataFrame(wanted, "space int, scale double, i int, j int, k int"), delta, sides, n, [0.5, 1.5], empty=-1.0, kind="double").collect()
+        assert {(r.space, r.scale, r.i, r.j, r.k) for r in got} == set(wanted) and len(got) == len(wanted)
+        for scale in (0.5, 1.5):
+            for name in fields.COMPONENTS:
+                want = np.fft.ifftn(np.fft.fftn(v) * k[int(name[1])] * k[int(name[2])] / np.where(k2 > 0, k2, 1) * np.exp(-k2 * scale**2 / 2)).real
+                assert all(abs(r[name] - want[r.i, r.j, r.k]) < 1e-10 for r in got if r.scale == scale)
