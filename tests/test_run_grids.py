@@ -106,3 +106,11 @@ def test_tensors_in_some_cells_equal_numpy(spark):
             for name in fields.COMPONENTS:
                 want = np.fft.ifftn(np.fft.fftn(v) * k[int(name[1])] * k[int(name[2])] / np.where(k2 > 0, k2, 1) * np.exp(-k2 * scale**2 / 2)).real
                 assert all(abs(r[name] - want[r.i, r.j, r.k]) < 1e-10 for r in got if r.scale == scale)
+
+
+def test_smoothing_of_sparse_cells_equals_numpy(spark):
+    for n in (6, 7):
+        v, delta, sides, k = _sparse(spark, n, 10.0)
+        want = np.fft.ifftn(np.fft.fftn(v) * np.exp(-(k**2).sum(axis=0) * 1.5**2 / 2)).real
+        got = fields.smoothed(delta, sides, n, 1.5, empty=-1.0, digits=6).collect()
+        assert len(got) == 2 * n**3 and all(abs(r.v - want[r.i, r.j, r.k]) < 6e-7 and r.v == round(r.v, 6) for r in got)
