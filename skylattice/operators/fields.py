@@ -11,6 +11,7 @@ are not at ``empty`` are shuffled.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,8 @@ from skylattice.runtime import stage
 AXES = ("i", "j", "k")
 CUBE = 256
 COMPONENTS = ("t00", "t01", "t02", "t11", "t12", "t22")
+#: Scales for which a task makes the tensors of a whole cube, one after another.
+SCALES_A_TASK = 5
 
 
 def _kind(df: DataFrame, column: str) -> str:
@@ -76,14 +79,27 @@ def _waves(n: int, side: Column) -> list[Column]:
     return [wave_number(F.col(a), F.lit(n), side) for a in AXES]
 
 
-def tidal_tensors(delta: DataFrame, sides: DataFrame, n: int, scales: list[float | None], physical: bool = True, kind: str = "float") -> DataFrame:
+def tidal_tensors(delta: DataFrame, sides: DataFrame, n: int, scales: list[float | None], physical: bool = True, kind: str = "float", empty: float = 0.0, digits: int | None = None) -> DataFrame:
     """(space, scale, i, j, k, t00, t01, t02, t11, t12, t22): smoothed tidal tensors, stored as ``kind``.
 
-    T_ab is the inverse transform of k_a k_b / k^2 W(kR) delta_k, 0 at k = 0. The
-    forward transform is made once for all components and scales; the trace is
-    the smoothed overdensity. ``physical=False`` gives the slots of published
-    tables, in which T11 stands in the place of T02 and the other way round.
+    T_ab is the inverse transform of k_a k_b / k^2 W(kR) delta_k, 0 at k = 0; the
+    trace is the smoothed overdensity. Absent cells are at ``empty``, ``digits``
+    rounds. ``physical=False`` gives the slots of published tables, in which T11
+    stands in the place of T02 and the other way round.
+
+    A task transforms a cube and makes a few scales of it, a plane at a time.
     """
+    if n > CUBE:
+        wide = _tensors_by_pencils(full_grid(delta, n, empty) if empty else delta, sides, n, scales)
+        wide = wide if digits is None else wide.withColumns({t: F.round(t, digits) + 0.0 for t in COMPONENTS})
+    else:
+        wide = _tensors_by_cubes(delta, sides, n, [float(s) if s is not None else 0.0 for s in scales], empty, digits)
+    wide = wide.select("space", "scale", *AXES, *[F.col(t).cast(kind).alias(t) for t in COMPONENTS])
+    return wide if physical else wide.withColumns({"t02": F.col("t11"), "t11": F.col("t02")})
+
+
+def _tensors_by_pencils(delta: DataFrame, sides: DataFrame, n: int, scales: list[float | None]) -> DataFrame:
+    """:func:`tidal_tensors` of a grid whose absent cells are 0; the forward transform is made once for all components and scales."""
     waves = stage(spectrum(delta, n).join(sides, "space"), "spectrum")
     rows = waves.select("space", *AXES, "re", "im", "side", F.explode(F.array(*[F.lit(float(s) if s is not None else 0.0) for s in scales])).alias("scale"))
     rows = rows.withColumns({f"k_{a}": w for a, w in zip(AXES, _waves(n, F.col("side")), strict=True)})
@@ -94,22 +110,82 @@ def tidal_tensors(delta: DataFrame, sides: DataFrame, n: int, scales: list[float
     factor = {t: F.coalesce(F.try_divide(F.col(f"k_{a}") * F.col(f"k_{b}"), "k2"), F.lit(0.0)) * F.col("w") for t, (a, b) in names.items()}
     scaled = rows.select("space", "scale", *AXES, *[(F.col(c) * f).alias(f"{c}{t}") for t, f in factor.items() for c in ("re", "im")])
     back = fft3(scaled, n, inverse=True, keys=["space", "scale"], parts=tuple(names))
-    wide = back.select("space", "scale", *AXES, *[F.col(f"re{t}").cast(kind).alias(t) for t in names])
-    return wide if physical else wide.withColumns({"t02": F.col("t11"), "t11": F.col("t02")})
+    return back.select("space", "scale", *AXES, *[F.col(f"re{t}").alias(t) for t in names])
+
 
+def _tensors_by_cubes(delta: DataFrame, sides: DataFrame, n: int, scales: list[float], empty: float, digits: int | None) -> DataFrame:
+    """:func:`tidal_tensors` of cubes that a task can hold."""
+    parts = max(1, math.ceil(len(scales) / SCALES_A_TASK))
+    ends, j = pa.array(np.arange(0, n * n + 1, n, dtype=np.int32)), pa.array(np.arange(n, dtype=np.int32))
 
-def _cells(delta: DataFrame, sides: DataFrame, n: int, wanted: DataFrame | None = None) -> DataFrame:
-    """(space, side, at, v) in runs of a space: the cells of the grids, and the cells wanted with a null v."""
+    def transform(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for space, part, side, spec, _ in _cubes(batches, n, empty):
+            k = _numbers(n, side)
+            for i in range(n):
+                k2 = k[i] ** 2 + k[:, None] ** 2 + k[: n // 2 + 1] ** 2
+                k2[k2 == 0] = 1.0
+                spec[i] /= k2
+            for scale in scales[part::parts]:
+                for i, planes in _tensor_planes(n, side, scale, spec):
+                    values = [pa.ListArray.from_arrays(ends, pa.array(plane.reshape(-1))) for plane in _rounded(planes, digits)]
+                    yield pa.RecordBatch.from_arrays([pa.repeat(space, n), pa.repeat(pa.scalar(scale), n), pa.repeat(pa.scalar(i, pa.int32()), n), j, *values], names=["space", "scale", "i", "j", *COMPONENTS])
+            del spec
+
+    schema = f"space {_kind(delta, 'space')}, scale double, i int, j int, " + ", ".join(f"{t} array<double>" for t in COMPONENTS)
+    rows = _cells(delta, sides, n, parts=parts).mapInArrow(transform, schema)
+    # an element of each array by its index: arrays_zip would make an object of every cell
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"))
+    return rows.select("space", "scale", *AXES, *[F.get(t, F.col("k")).alias(t) for t in COMPONENTS])
+
+
+def _tensor_planes(n: int, side: float, scale: float, spec: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, the six components) of each plane of the smoothed tidal tensors; ``spec`` is a half spectrum over k^2.
+
+    The factors k_a k_b and the window are products over axes. So three cubes,
+    the waves times 1, k_i and k_i^2 transformed back along i, hold all six
+    components. Of these cubes every fourth plane is made at a time: waves a
+    quarter of the axis apart are alike there, but for a turn, and are added first.
+    """
+    k, m, half = _numbers(n, side), n // 2 + 1, n // 2
+    w, odd, nyquist = np.exp(-0.5 * (k * max(scale, 0.0)) ** 2), k.copy(), 0.0
+    if n % 2 == 0:  # a product of two axes has no real part where one of them alone is at its Nyquist index
+        odd[half], nyquist = 0.0, k[half]
+    both = w[:, None] * w[:m]
+    along = np.stack([both, odd[:, None] * both, odd[:m] * both, k[:, None] ** 2 * both, odd[:, None] * odd[:m] * both, k[:m] ** 2 * both])
+    lone = spec[half] * both * (nyquist**2 * w[half] / n)  # the waves at the Nyquist index of i and another axis
+    if n % 2 == 0:
+        along[4, half, half] = nyquist**2 * both[half, half]
+    step = math.gcd(n, 4)
+    for first in range(step):
+        turn = w * np.exp(2j * np.pi * first * np.arange(n) / n) / step
+        cubes = np.empty((3, n // step, n, m), dtype=complex)
+        for cube, factor in zip(cubes, (turn, turn * odd, turn * k**2), strict=True):
+            for j in range(0, n, 8):
+                some = spec[:, j : j + 8] * factor[:, None, None]
+                cube[:, j : j + 8] = np.fft.ifft(some.reshape(step, n // step, *some.shape[1:]).sum(axis=0), axis=0)
+        for at in range(n // step):
+            i = first + at * step
+            waves = cubes[[2, 1, 1, 0, 0, 0], at] * along
+            if n % 2 == 0:
+                waves[1, half] += (-1) ** i * lone[half]
+                waves[2, :, half] += (-1) ** i * lone[:, half]
+            yield i, np.fft.irfft(np.fft.ifft(waves, axis=1), n)
+
+
+def _cells(delta: DataFrame, sides: DataFrame, n: int, wanted: DataFrame | None = None, parts: int = 1) -> DataFrame:
+    """(space, part, side, at, v) in runs of a space and part: the cells of the grids, and the cells wanted with a null v. Every part has all cells."""
     at = ((F.col("i") * n + F.col("j")) * n + F.col("k")).cast("int").alias("at")
     rows = delta.where("v IS NOT NULL").select("space", at, F.col("v").cast("double").alias("v"))
     if wanted is not None:
         rows = rows.unionByName(wanted.select("space", at, F.lit(None).cast("double").alias("v")))
-    return in_runs(rows.join(sides, "space").select("space", F.col("side").cast("double").alias("side"), "at", "v"), n, ["space"], ["space"], n)
+    part = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))) if parts > 1 else F.lit(0)
+    keys = ["space", "part"] if parts > 1 else ["space"]
+    return in_runs(rows.join(sides, "space").select("space", part.alias("part"), F.col("side").cast("double").alias("side"), "at", "v"), n, keys, keys, n)
 
 
-def _cubes(batches: Iterator[pa.RecordBatch], n: int, empty: float, k_max: float | None = None) -> Iterator[tuple[pa.Scalar, float, np.ndarray, np.ndarray]]:
-    """(space, side, half spectrum, cells wanted) of each cube; with ``k_max`` of its last axis only the indices up to that wave number."""
-    space, side, cube, wanted = None, 0.0, None, []
+def _cubes(batches: Iterator[pa.RecordBatch], n: int, empty: float, k_max: float | None = None) -> Iterator[tuple[pa.Scalar, int, float, np.ndarray, np.ndarray]]:
+    """(space, part, side, half spectrum, cells wanted) of each cube; with ``k_max`` of its last axis only the indices up to that wave number."""
+    space, part, side, cube, wanted = None, 0, 0.0, None, []
 
     def spectrum_of() -> np.ndarray:
         m = n // 2 + 1 if k_max is None else min(n // 2, int(k_max * side / (2 * np.pi)) + 1) + 1
@@ -122,22 +198,23 @@ def _cubes(batches: Iterator[pa.RecordBatch], n: int, empty: float, k_max: float
     for batch in batches:
         if not batch.num_rows:
             continue
-        names, at, v, sides = batch["space"].to_numpy(zero_copy_only=False), batch["at"].to_numpy(), batch["v"].to_numpy(zero_copy_only=False), batch["side"].to_numpy()
-        for lo, hi in runs_of(names):
-            if cube is None or batch["space"][lo] != space:
+        names, of, at, v, sides = batch["space"].to_numpy(zero_copy_only=False), batch["part"].to_numpy(), batch["at"].to_numpy(), batch["v"].to_numpy(zero_copy_only=False), batch["side"].to_numpy()
+        given = batch["v"].is_valid().to_numpy(zero_copy_only=False)  # NaN is a value
+        for lo, hi in runs_of(names, of):
+            if cube is None or batch["space"][lo] != space or of[lo] != part:
                 if cube is not None:
                     spec = spectrum_of()
                     cube = None
-                    yield space, side, spec, np.concatenate(wanted)
+                    yield space, part, side, spec, np.concatenate(wanted)
                     spec = None
-                space, side, cube, wanted = batch["space"][lo], float(sides[lo]), np.full(n**3, float(empty)), []
-            has = v[lo:hi] == v[lo:hi]
+                space, part, side, cube, wanted = batch["space"][lo], int(of[lo]), float(sides[lo]), np.full(n**3, float(empty)), []
+            has = given[lo:hi]
             cube[at[lo:hi][has]] = v[lo:hi][has]
             wanted.append(at[lo:hi][~has])
     if cube is not None:
         spec = spectrum_of()
         cube = None
-        yield space, side, spec, np.concatenate(wanted)
+        yield space, part, side, spec, np.concatenate(wanted)
 
 
 def _along_i(spec: np.ndarray, transform) -> None:
@@ -163,7 +240,7 @@ def smoothed(delta: DataFrame, sides: DataFrame, n: int, scale: float | None, em
         return back if digits is None else back.withColumn("v", F.round("v", digits) + 0.0)
 
     def transform(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for space, side, spec, _ in _cubes(batches, n, empty):
+        for space, _, side, spec, _ in _cubes(batches, n, empty):
             w = np.exp(-0.5 * (_numbers(n, side) * max(scale or 0.0, 0.0)) ** 2)
             spec *= w[:, None, None]
             spec *= w[:, None] * w[: n // 2 + 1]
@@ -362,7 +439,7 @@ def halo_bias(halos: DataFrame, delta: DataFrame, sides: DataFrame, n: int, k_ma
     near = corner_shares(placed(halos).select(F.col("box").alias("space"), "x", "y", "z", "side"), n).select("space", *AXES).distinct()
 
     def transform(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for space, side, spec, wanted in _cubes(batches, n, empty, k_max):
+        for space, _, side, spec, wanted in _cubes(batches, n, empty, k_max):
             k = _numbers(n, side)
             size = np.sqrt(k[:, None, None] ** 2 + k[:, None] ** 2 + k[: spec.shape[2]] ** 2)
             spec /= n**3

@@ -114,3 +114,33 @@ def test_smoothing_of_sparse_cells_equals_numpy(spark):
         want = np.fft.ifftn(np.fft.fftn(v) * np.exp(-(k**2).sum(axis=0) * 1.5**2 / 2)).real
         got = fields.smoothed(delta, sides, n, 1.5, empty=-1.0, digits=6).collect()
         assert len(got) == 2 * n**3 and all(abs(r.v - want[r.i, r.j, r.k]) < 6e-7 and r.v == round(r.v, 6) for r in got)
+
+
+def test_tensors_of_whole_cubes_equal_numpy(spark, monkeypatch):
+    # six scales are two tasks a cube; the last time the cube is too large for a task
+    scales = [None, 0.3, 0.5, 1.0, 1.5, 2.5]
+    for n, cube in ((6, 256), (7, 256), (8, 256), (6, 4)):
+        monkeypatch.setattr(fields, "CUBE", cube)
+        v, delta, sides, k = _sparse(spark, n, 10.0)
+        k2 = (k**2).sum(axis=0)
+        tensors = fields.tidal_tensors(delta, sides, n, scales, kind="double", empty=-1.0, digits=4)
+        got = tensors.collect()
+        assert len(got) == len({(r.space, r.scale, r.i, r.j, r.k) for r in got}) == 2 * len(scales) * n**3
+        for scale in scales:
+            for name in fields.COMPONENTS:
+                want = np.fft.ifftn(np.fft.fftn(v) * k[int(name[1])] * k[int(name[2])] / np.where(k2 > 0, k2, 1) * np.exp(-k2 * (scale or 0.0) ** 2 / 2)).real
+                assert all(abs(r[name] - want[r.i, r.j, r.k]) < 5.1e-5 and r[name] == round(r[name], 4) for r in got if r.scale == (scale or 0.0))
+        plan = tensors._jdf.queryExecution().executedPlan().toString()
+        assert ("collect_list" in plan) == (n > cube)  # cells are regrouped along the axes only where no task holds the cube
+
+
+def test_the_cells_of_a_run_are_not_regrouped(spark, tmp_path):
+    tables(spark, tmp_path)
+    plan = q.QUERIES["m9_tidal_tensor_run_grid"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "collect_list" not in plan
+
+
+def test_a_cell_that_is_nan_spoils_its_cube_alone(spark):
+    delta = spark.createDataFrame([(1, 0, 0, 0, float("nan")), (1, 1, 1, 1, 2.0), (2, 1, 1, 1, 2.0)], "space int, i int, j int, k int, v double")
+    got = fields.tidal_tensors(delta, spark.createDataFrame([(1, 10.0), (2, 10.0)], "space int, side double"), 4, [1.0], kind="double").collect()
+    assert {(r.space, np.isnan(r.t01)) for r in got} == {(1, True), (2, False)} and len(got) == 2 * 4**3
