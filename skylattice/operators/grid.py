@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 from skylattice.runtime import finite
 
 CELL = ("i", "j", "k")
+#: Cells that a task of :func:`full_overdensity` holds at a time.
+BLOCK = 1 << 20
 
 
 def placed(points: DataFrame, space: str = "box", side: str = "side") -> DataFrame:
@@ -135,6 +137,72 @@ def full_grid(grid: DataFrame, n: int, empty: float) -> DataFrame:
     return cells_of(rows.mapInArrow(fill, pencil_schema(grid)))
 
 
+def in_cells(points: DataFrame, n: int) -> DataFrame:
+    """(space, x, y, z): the points that can be placed, in units of a cell."""
+    return placed(points).select(F.col("box").alias("space"), *[(F.col(a) / (F.col("side") / n)).alias(a) for a in "xyz"])
+
+
+def deposit(cells: np.ndarray, n: int, x: np.ndarray, y: np.ndarray, z: np.ndarray, first: int = 0) -> None:
+    """Add points of :func:`in_cells` to the eight nearest cells, of which ``cells`` has those from the plane ``first`` on."""
+    low = [np.floor(c) for c in (x, y, z)]
+    part = [c - at for c, at in zip((x, y, z), low, strict=True)]
+    low = [np.mod(at, n).astype(np.int64) for at in low]
+    for d in np.ndindex(2, 2, 2):
+        i, j, k = ((at + up) % n for at, up in zip(low, d, strict=True))
+        w = np.ones(len(x))
+        for share, up in zip(part, d, strict=True):
+            w = w * (share if up else 1 - share)
+        at = ((i - first) * n + j) * n + k
+        mine = (at >= 0) & (at < len(cells))
+        np.add.at(cells, at[mine], w[mine])
+
+
+def full_overdensity(points: DataFrame, n: int, digits: int) -> DataFrame:
+    """(space, i, j, k, v): :func:`full_grid` of the overdensity of points, rounded to ``digits``.
+
+    The points are shuffled, and not the eight cells of each; a task deposits
+    them on a block of planes.
+    """
+    rows, planes = in_cells(points, n), max(1, BLOCK // n**2)
+    means = rows.groupBy("space").agg((F.count("*") / n**3).alias("mean"))
+    at = F.pmod(F.floor("x"), F.lit(n))
+    blocks = F.array_distinct(F.transform(F.array(at, F.pmod(at + 1, F.lit(n))), lambda i: F.floor(i / planes).cast("int")))
+    rows = rows.select("space", F.explode(blocks).alias("block"), F.lit(None).cast("double").alias("mean"), *"xyz")
+    every = means.select("space", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // planes))).alias("block"), "mean", *[F.lit(None).cast("double").alias(a) for a in "xyz"])
+    rows = in_runs(rows.unionByName(every), n, ["space", "block"], ["space", "block"], n)
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, mean, cells = None, 0.0, np.empty(0)
+
+        def made() -> Iterator[pa.RecordBatch]:
+            space, b = block
+            for i, plane in enumerate(cells.reshape(-1, n * n), b * planes):
+                values, some = np.full(n * n, -1.0), np.flatnonzero(plane)
+                v = plane[some] / mean - 1
+                scaled = v * 10**digits
+                values[some] = np.where(np.abs(scaled) < 2**52, np.trunc(scaled + np.copysign(0.5, scaled)) / 10**digits, v) + 0.0
+                yield pencils(space, i, values)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            of, means_, has = batch["block"].to_numpy(), batch["mean"].to_numpy(zero_copy_only=False), batch["x"].is_valid().to_numpy(zero_copy_only=False)
+            places = [batch[a].to_numpy(zero_copy_only=False) for a in "xyz"]
+            for lo, hi in runs_of(batch["space"].to_numpy(zero_copy_only=False), of):
+                now = (batch["space"][lo], int(of[lo]))
+                if now != block:
+                    if block is not None:
+                        yield from made()
+                    block, cells = now, np.zeros((min(n, (now[1] + 1) * planes) - now[1] * planes) * n * n)
+                given = has[lo:hi]
+                mean = float(means_[lo:hi][~given][0]) if not given.all() else mean
+                deposit(cells, n, *[c[lo:hi][given] for c in places], first=block[1] * planes)
+        if block is not None:
+            yield from made()
+
+    return cells_of(rows.mapInArrow(fill, pencil_schema(rows)))
+
+
 def pencil_schema(grid: DataFrame) -> T.StructType:
     """(space, i, j, v): the cells (i, j, 0 to n-1) of a grid as an array, which costs less between Python and Spark than n rows."""
     whole = T.IntegerType()

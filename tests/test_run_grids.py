@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -144,3 +146,27 @@ def test_a_cell_that_is_nan_spoils_its_cube_alone(spark):
     delta = spark.createDataFrame([(1, 0, 0, 0, float("nan")), (1, 1, 1, 1, 2.0), (2, 1, 1, 1, 2.0)], "space int, i int, j int, k int, v double")
     got = fields.tidal_tensors(delta, spark.createDataFrame([(1, 10.0), (2, 10.0)], "space int, side double"), 4, [1.0], kind="double").collect()
     assert {(r.space, np.isnan(r.t01)) for r in got} == {(1, True), (2, False)} and len(got) == 2 * 4**3
+
+
+def _regroups_cells(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return re.search(r"hashpartitioning\(space#\d+, i#\d+, j#\d+, k#\d+", plan) is not None
+
+
+def test_a_whole_overdensity_shuffles_points_and_not_their_cells(spark, tmp_path, monkeypatch):
+    # blocks of two planes of the first grid, of one plane of the second
+    monkeypatch.setattr(grid, "BLOCK", 40)
+    want = overdensities(tables(spark, tmp_path))
+    delta = q.QUERIES["a4_overdensity_run_grid"](spark, str(tmp_path))
+    got = delta.collect()
+    assert len(got) == len({(r.space, r.i, r.j, r.k) for r in got}) == 4**3 + 6**3
+    assert all(abs(r.delta - want[r.space][r.i, r.j, r.k]) < 6e-7 and r.delta == round(r.delta, 6) for r in got)
+    assert not _regroups_cells(delta)
+
+
+def test_points_without_a_place_are_no_part_of_an_overdensity(spark):
+    rows = [(1, 8.0, 7.5, 0.5, 0.5), (1, 8.0, None, 0.5, 0.5), (1, 8.0, 1.0, float("nan"), 1.0), (None, 8.0, 1.0, 1.0, 1.0), (2, 0.0, 1.0, 1.0, 1.0)]
+    points = spark.createDataFrame(rows, "box int, side double, x double, y double, z double")
+    got = {(r.space, r.i, r.j, r.k): r.v for r in grid.full_overdensity(points, 8, 6).collect()}
+    assert len(got) == 8**3 and got[1, 7, 0, 0] == got[1, 0, 1, 1] == 8**3 / 8 - 1 and sum(v != -1 for v in got.values()) == 8
+    assert grid.full_overdensity(points.limit(0), 8, 6).count() == 0
