@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skylattice.functions.cosmology import gaussian_window, wave_number
-from skylattice.operators.grid import cells_of, corner_shares, full_grid, in_runs, pencil_schema, pencils, placed, runs_of, trilinear
+from skylattice.operators.grid import cells_of, cloud_in_cell, corner_shares, deposit, full_grid, in_cells, in_runs, overdensity, pencil_schema, pencils, placed, runs_of, trilinear
 from skylattice.runtime import stage
 
 AXES = ("i", "j", "k")
@@ -178,16 +178,31 @@ def _cells(delta: DataFrame, sides: DataFrame, n: int, wanted: DataFrame | None
     rows = delta.where("v IS NOT NULL").select("space", at, F.col("v").cast("double").alias("v"))
     if wanted is not None:
         rows = rows.unionByName(wanted.select("space", at, F.lit(None).cast("double").alias("v")))
+    return _runs_of_cubes(rows, sides, n, parts)
+
+
+def _points(points: DataFrame, sides: DataFrame, n: int, parts: int = 1) -> DataFrame:
+    """(space, part, side, x, y, z) in runs of a space and part: the points, in units of a cell. Every part has all points."""
+    return _runs_of_cubes(in_cells(points, n), sides, n, parts)
+
+
+def _runs_of_cubes(rows: DataFrame, sides: DataFrame, n: int, parts: int) -> DataFrame:
     part = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))) if parts > 1 else F.lit(0)
     keys = ["space", "part"] if parts > 1 else ["space"]
-    return in_runs(rows.join(sides, "space").select("space", part.alias("part"), F.col("side").cast("double").alias("side"), "at", "v"), n, keys, keys, n)
+    return in_runs(rows.join(sides, "space").select("space", part.alias("part"), F.col("side").cast("double").alias("side"), *rows.columns[1:]), n, keys, keys, n)
 
 
 def _cubes(batches: Iterator[pa.RecordBatch], n: int, empty: float, k_max: float | None = None) -> Iterator[tuple[pa.Scalar, int, float, np.ndarray, np.ndarray]]:
-    """(space, part, side, half spectrum, cells wanted) of each cube; with ``k_max`` of its last axis only the indices up to that wave number."""
-    space, part, side, cube, wanted = None, 0, 0.0, None, []
+    """(space, part, side, half spectrum, cells wanted) of each cube; with ``k_max`` of its last axis only the indices up to that wave number.
+
+    Of points the cube is their overdensity.
+    """
+    space, part, side, cube, wanted, of_points = None, 0, 0.0, None, [], False
 
     def spectrum_of() -> np.ndarray:
+        if of_points:
+            np.divide(cube, cube.sum() / n**3, out=cube)
+            np.subtract(cube, 1.0, out=cube)
         m = n // 2 + 1 if k_max is None else min(n // 2, int(k_max * side / (2 * np.pi)) + 1) + 1
         out = np.empty((n, n, m), dtype=complex)
         for i in range(n):
@@ -198,23 +213,30 @@ def _cubes(batches: Iterator[pa.RecordBatch], n: int, empty: float, k_max: float
     for batch in batches:
         if not batch.num_rows:
             continue
-        names, of, at, v, sides = batch["space"].to_numpy(zero_copy_only=False), batch["part"].to_numpy(), batch["at"].to_numpy(), batch["v"].to_numpy(zero_copy_only=False), batch["side"].to_numpy()
-        given = batch["v"].is_valid().to_numpy(zero_copy_only=False)  # NaN is a value
+        names, of, sides, of_points = batch["space"].to_numpy(zero_copy_only=False), batch["part"].to_numpy(), batch["side"].to_numpy(), "x" in batch.schema.names
+        if of_points:
+            places = [batch[a].to_numpy() for a in "xyz"]
+        else:
+            at, v = batch["at"].to_numpy(), batch["v"].to_numpy(zero_copy_only=False)
+            given = batch["v"].is_valid().to_numpy(zero_copy_only=False)  # NaN is a value
         for lo, hi in runs_of(names, of):
             if cube is None or batch["space"][lo] != space or of[lo] != part:
                 if cube is not None:
                     spec = spectrum_of()
                     cube = None
-                    yield space, part, side, spec, np.concatenate(wanted)
+                    yield space, part, side, spec, np.concatenate(wanted or [[]])
                     spec = None
-                space, part, side, cube, wanted = batch["space"][lo], int(of[lo]), float(sides[lo]), np.full(n**3, float(empty)), []
+                space, part, side, cube, wanted = batch["space"][lo], int(of[lo]), float(sides[lo]), np.full(n**3, 0.0 if of_points else float(empty)), []
+            if of_points:
+                deposit(cube, n, *[c[lo:hi] for c in places])
+                continue
             has = given[lo:hi]
             cube[at[lo:hi][has]] = v[lo:hi][has]
             wanted.append(at[lo:hi][~has])
     if cube is not None:
         spec = spectrum_of()
         cube = None
-        yield space, part, side, spec, np.concatenate(wanted)
+        yield space, part, side, spec, np.concatenate(wanted or [[]])
 
 
 def _along_i(spec: np.ndarray, transform) -> None:
@@ -238,7 +260,17 @@ def smoothed(delta: DataFrame, sides: DataFrame, n: int, scale: float | None, em
     if n > CUBE:
         back = _smoothed_by_pencils(full_grid(delta, n, empty), sides, n, scale)
         return back if digits is None else back.withColumn("v", F.round("v", digits) + 0.0)
+    return _smoothed_cubes(_cells(delta, sides, n), n, scale, empty, digits)
+
+
+def smoothed_points(points: DataFrame, sides: DataFrame, n: int, scale: float | None, digits: int | None = None) -> DataFrame:
+    """:func:`smoothed` of the overdensity of points, deposited in the task that transforms the cube, so that a point is shuffled and not its eight cells."""
+    if n > CUBE:
+        return smoothed(overdensity(cloud_in_cell(points, n), n), sides, n, scale, -1.0, digits)
+    return _smoothed_cubes(_points(points, sides, n), n, scale, -1.0, digits)
+
 
+def _smoothed_cubes(rows: DataFrame, n: int, scale: float | None, empty: float, digits: int | None) -> DataFrame:
     def transform(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for space, _, side, spec, _ in _cubes(batches, n, empty):
             w = np.exp(-0.5 * (_numbers(n, side) * max(scale or 0.0, 0.0)) ** 2)
@@ -249,7 +281,7 @@ def smoothed(delta: DataFrame, sides: DataFrame, n: int, scale: float | None, em
                 yield pencils(space, i, _rounded(np.fft.irfft(np.fft.ifft(spec[i], axis=0), n), digits))
             del spec
 
-    return cells_of(_cells(delta, sides, n).mapInArrow(transform, pencil_schema(delta)))
+    return cells_of(rows.mapInArrow(transform, pencil_schema(rows)))
 
 
 def _kernels(n: int, side: float, scale: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -170,3 +170,18 @@ def test_points_without_a_place_are_no_part_of_an_overdensity(spark):
     got = {(r.space, r.i, r.j, r.k): r.v for r in grid.full_overdensity(points, 8, 6).collect()}
     assert len(got) == 8**3 and got[1, 7, 0, 0] == got[1, 0, 1, 1] == 8**3 / 8 - 1 and sum(v != -1 for v in got.values()) == 8
     assert grid.full_overdensity(points.limit(0), 8, 6).count() == 0
+
+
+def test_smoothing_of_points_shuffles_them_and_not_their_cells(spark, tmp_path, monkeypatch):
+    want = overdensities(tables(spark, tmp_path))
+    for cube in (256, 4):  # the last time the second grid is too large for a task
+        monkeypatch.setattr(fields, "CUBE", cube)
+        smooth = q.QUERIES["m8_smoothed_run_grid"](spark, str(tmp_path))
+        got = smooth.collect()
+        assert len(got) == len({(r.space, r.i, r.j, r.k) for r in got}) == 4**3 + 6**3
+        for run, (n, side) in GRIDS.items():
+            k = 2 * np.pi * np.fft.fftfreq(n, side / n)
+            window = np.exp(-(k[:, None, None] ** 2 + k[:, None] ** 2 + k**2) * 10.0**2 / 2)
+            expected = np.fft.ifftn(np.fft.fftn(want[run]) * window).real
+            assert all(abs(r.delta - expected[r.i, r.j, r.k]) < 6e-7 for r in got if r.space == run)
+        assert _regroups_cells(smooth) == (cube == 4)
