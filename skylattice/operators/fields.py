@@ -93,11 +93,19 @@ def tidal_tensors(delta: DataFrame, sides: DataFrame, n: int, scales: list[float
         wide = _tensors_by_pencils(full_grid(delta, n, empty) if empty else delta, sides, n, scales)
         wide = wide if digits is None else wide.withColumns({t: F.round(t, digits) + 0.0 for t in COMPONENTS})
     else:
-        wide = _tensors_by_cubes(delta, sides, n, [float(s) if s is not None else 0.0 for s in scales], empty, digits)
+        wide = _tensors_by_cubes(_cells(delta, sides, n, parts=_parts(scales)), n, scales, empty, digits)
     wide = wide.select("space", "scale", *AXES, *[F.col(t).cast(kind).alias(t) for t in COMPONENTS])
     return wide if physical else wide.withColumns({"t02": F.col("t11"), "t11": F.col("t02")})
 
 
+def tidal_tensors_of_points(points: DataFrame, sides: DataFrame, n: int, scales: list[float | None], digits: int | None = None) -> DataFrame:
+    """:func:`tidal_tensors`, as doubles, of the overdensity of points, deposited in the tasks that transform the cube, so that a point is shuffled and not its eight cells."""
+    if n > CUBE:
+        return tidal_tensors(overdensity(cloud_in_cell(points, n), n), sides, n, scales, kind="double", empty=-1.0, digits=digits)
+    wide = _tensors_by_cubes(_points(points, sides, n, parts=_parts(scales)), n, scales, -1.0, digits)
+    return wide.select("space", "scale", *AXES, *COMPONENTS)
+
+
 def _tensors_by_pencils(delta: DataFrame, sides: DataFrame, n: int, scales: list[float | None]) -> DataFrame:
     """:func:`tidal_tensors` of a grid whose absent cells are 0; the forward transform is made once for all components and scales."""
     waves = stage(spectrum(delta, n).join(sides, "space"), "spectrum")
@@ -113,9 +121,13 @@ def _tensors_by_pencils(delta: DataFrame, sides: DataFrame, n: int, scales: list
     return back.select("space", "scale", *AXES, *[F.col(f"re{t}").alias(t) for t in names])
 
 
-def _tensors_by_cubes(delta: DataFrame, sides: DataFrame, n: int, scales: list[float], empty: float, digits: int | None) -> DataFrame:
-    """:func:`tidal_tensors` of cubes that a task can hold."""
-    parts = max(1, math.ceil(len(scales) / SCALES_A_TASK))
+def _parts(scales: list[float | None]) -> int:
+    return max(1, math.ceil(len(scales) / SCALES_A_TASK))
+
+
+def _tensors_by_cubes(cells: DataFrame, n: int, scales: list[float | None], empty: float, digits: int | None) -> DataFrame:
+    """:func:`tidal_tensors` of cubes that a task can hold, from the rows of :func:`_cells` or :func:`_points`."""
+    parts, scales = _parts(scales), [float(s) if s is not None else 0.0 for s in scales]
     ends, j = pa.array(np.arange(0, n * n + 1, n, dtype=np.int32)), pa.array(np.arange(n, dtype=np.int32))
 
     def transform(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,8 +143,8 @@ def _tensors_by_cubes(delta: DataFrame, sides: DataFrame, n: int, scales: list[f
                     yield pa.RecordBatch.from_arrays([pa.repeat(space, n), pa.repeat(pa.scalar(scale), n), pa.repeat(pa.scalar(i, pa.int32()), n), j, *values], names=["space", "scale", "i", "j", *COMPONENTS])
             del spec
 
-    schema = f"space {_kind(delta, 'space')}, scale double, i int, j int, " + ", ".join(f"{t} array<double>" for t in COMPONENTS)
-    rows = _cells(delta, sides, n, parts=parts).mapInArrow(transform, schema)
+    schema = f"space {_kind(cells, 'space')}, scale double, i int, j int, " + ", ".join(f"{t} array<double>" for t in COMPONENTS)
+    rows = cells.mapInArrow(transform, schema)
     # an element of each array by its index: arrays_zip would make an object of every cell
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"))
     return rows.select("space", "scale", *AXES, *[F.get(t, F.col("k")).alias(t) for t in COMPONENTS])

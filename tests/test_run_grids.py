@@ -185,3 +185,26 @@ def test_smoothing_of_points_shuffles_them_and_not_their_cells(spark, tmp_path,
             expected = np.fft.ifftn(np.fft.fftn(want[run]) * window).real
             assert all(abs(r.delta - expected[r.i, r.j, r.k]) < 6e-7 for r in got if r.space == run)
         assert _regroups_cells(smooth) == (cube == 4)
+
+
+def test_tensors_of_points_shuffle_them_and_not_their_cells(spark, tmp_path, monkeypatch):
+    want = overdensities(tables(spark, tmp_path))
+    n, side = GRIDS[2]
+    k = 2 * np.pi * np.fft.fftfreq(n, side / n)
+    k = np.stack(np.meshgrid(k, k, k, indexing="ij"))
+    k2 = (k**2).sum(axis=0)
+    halos = q.high(spark, str(tmp_path)).where("run_id = 2")
+    scales = [None, 0.3, 0.5, 1.0, 1.5, 2.5]
+    for cube in (256, 4):  # the last time the cube is too large for a task
+        monkeypatch.setattr(fields, "CUBE", cube)
+        tensors = fields.tidal_tensors_of_points(halos, q.box_sides(halos), n, scales, digits=4)
+        got = tensors.collect()
+        assert len(got) == len({(r.space, r.scale, r.i, r.j, r.k) for r in got}) == len(scales) * n**3
+        for scale in scales:
+            for name in fields.COMPONENTS:
+                expected = np.fft.ifftn(np.fft.fftn(want[2]) * k[int(name[1])] * k[int(name[2])] / np.where(k2 > 0, k2, 1) * np.exp(-k2 * (scale or 0.0) ** 2 / 2)).real
+                assert all(abs(r[name] - expected[r.i, r.j, r.k]) < 5.1e-5 for r in got if r.scale == (scale or 0.0))
+        if cube == 256:
+            assert not _regroups_cells(tensors)
+    monkeypatch.undo()
+    assert not _regroups_cells(q.QUERIES["m9_tidal_tensor_run_grid"](spark, str(tmp_path)))
